@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import documents as D
 from touchline.functions.identifiers import canonical_uuid
+from touchline.functions.plans import computed_once
 from touchline.functions.times import parse_rfc3339
 
 _DOCUMENT = "_document"
@@ -36,7 +37,7 @@ def decode_documents(raw: DataFrame, column: str = "value", strict_trailing: boo
     # One projection parses, the next one reads the parsed value: Catalyst keeps them
     # apart because the parse is referenced many times, so each text is parsed once.
     parsed = raw.withColumn(_DOCUMENT, D.parse_document(text, strict_trailing))
-    checked = parsed.withColumn("malformed", ~F.coalesce(well_typed, F.lit(False)))
+    checked = parsed.withColumn("malformed", computed_once(~F.coalesce(well_typed, F.lit(False))))
     good = ~F.col("malformed")
 
     def text_field(name: str):
@@ -65,6 +66,5 @@ def decode_envelopes(topic: DataFrame, column: str = "value") -> DataFrame:
     decoded = decode_documents(topic, column, strict_trailing=True).withColumns(
         {"event_id": canonical_uuid(F.col("raw_event_id")), "timestamp": parse_rfc3339(F.col("raw_timestamp"))}
     )
-    return decoded.withColumn("parse_error", F.col("event_id").isNull() | F.col("timestamp").isNull()).drop(
-        "malformed", "raw_event_id", "raw_timestamp"
-    )
+    unusable = F.col("event_id").isNull() | F.col("timestamp").isNull()
+    return decoded.withColumn("parse_error", computed_once(unusable)).drop("malformed", "raw_event_id", "raw_timestamp")

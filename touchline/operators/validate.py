@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.identifiers import canonical_uuid
+from touchline.functions.plans import computed_once
 from touchline.functions.times import parse_rfc3339
 from touchline.schema import EVENT_TYPES, FIELD_ERRORS, MALFORMED_MESSAGE, TEAM_IDS
 
@@ -36,7 +37,7 @@ def validate(decoded: DataFrame, event_types: Sequence[str] = EVENT_TYPES) -> Da
     for name, message in FIELD_ERRORS.items():
         error_field = error_field.when(failures[name], F.lit(name))
         error_message = error_message.when(failures[name], F.lit(message))
-    return typed.withColumns({"error_field": error_field, "error_message": error_message})
+    return typed.withColumns({"error_field": error_field, "error_message": computed_once(error_message)})
 
 
 def accepted(validated: DataFrame, *keep: str) -> DataFrame:
