@@ -22,7 +22,7 @@ from touchline.operators.encode import (
 from touchline.operators.lineup import formations, quota_sample, with_position
 from touchline.operators.newest import newest
 from touchline.operators.percentiles import exact_percentiles, latency_percentiles
-from touchline.operators.request_stats import error_rate, histogram, labelled_counts
+from touchline.operators.request_stats import error_rate, histogram, labelled_counts, path_template
 from touchline.operators.routing import (
     DEAD,
     RETRY,
@@ -197,6 +197,11 @@ def request_counters(spark, sf):
     return labelled_counts(E.request_log(spark, sf), "method", "path", "status", name="requests")
 
 
+def request_counters_by_template(spark, sf):
+    log = E.request_log(spark, sf).withColumn("template", path_template(F.col("path")))
+    return labelled_counts(log, "method", "template", "status", name="requests")
+
+
 def ingest_counters(spark, sf):
     return labelled_counts(E.match_events(spark, sf), "event_type", name="events_ingested")
 
@@ -535,6 +540,7 @@ QUERIES = {
     "latest_n": latest_n,
     "latest_n_per_key": latest_n_per_key,
     "request_counters": request_counters,
+    "request_counters_by_template": request_counters_by_template,
     "ingest_counters": ingest_counters,
     "error_rate": request_error_rate,
     "request_histogram": request_histogram,

@@ -244,6 +244,9 @@ ORACLES = {
             row_number() over (partition by event_type order by ts desc, event_id desc) as age from events)
         where age <= 100""",
     "request_counters": f"with {REQUESTS} select method, path, status, count(*) as requests from requests group by 1, 2, 3",
+    "request_counters_by_template": f"""with {REQUESTS}
+        select method, case when path like '/api/matches/%' then '/api/matches/{{matchId}}/metrics' else path end
+          as template, status, count(*) as requests from requests group by 1, 2, 3""",
     "ingest_counters": f"with {ME} select event_type, count(*) as events_ingested from me group by 1",
     "error_rate": f"""with {REQUESTS}
         select method, count(*) as requests, count(*) filter (where status >= 500) as errors,

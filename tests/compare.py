@@ -16,6 +16,16 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+SQL_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -49,12 +59,15 @@ def compare(df, con, sql: str):
     theirs = rows_of(names, cursor.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
-    kinds = {d[0]: str(d[1]) for d in cursor.description}
+    theirs_types = dict(con.execute(f"select column_name, column_type from (describe {sql})").fetchall())
+    for name, kind in df.dtypes:
+        if SQL_TYPES.get(kind) != theirs_types[name]:
+            return f"type of {name}: {kind} != {theirs_types[name]}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows != {len(theirs)}"
     for a, b in zip(mine, theirs):
         if a != b:
-            return f"{a}\n   != {b}  ({sorted(kinds.items())})"
+            return f"{a}\n   != {b}"
     return None
 
 

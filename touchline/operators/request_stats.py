@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def path_template(path: Column) -> Column:
+    """Path with the match identifier replaced, so that labels stay few."""
+    return F.regexp_replace(path, r"\A(/api/matches/)[^/]+(/|\z)", "$1{matchId}$2")
+
+
 def labelled_counts(rows: DataFrame, *labels: str, name: str = "total") -> DataFrame:
     """Rows per combination of labels."""
     return rows.groupBy(*labels).agg(F.count("*").alias(name))

@@ -14,12 +14,9 @@ def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_raw_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def read_raw_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """The same as a stream over the files that arrive in a folder."""
-    reader = spark.readStream
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path)
+    return spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
 
 
 def read_match_events(

@@ -30,12 +30,14 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, **more: str
     return reader.load().select(*TOPIC.fieldNames())
 
 
-def read_topic_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of a topic kept as a Parquet folder."""
-    reader = spark.readStream.schema(TOPIC).option("recursiveFileLookup", "true")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+def read_topic_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Stream of a topic kept as a Parquet folder; a backlog is worked off in batches of files."""
+    return (
+        spark.readStream.schema(TOPIC)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(path)
+    )
 
 
 def read_topic(spark: SparkSession, path: str) -> DataFrame:

@@ -33,39 +33,54 @@ class Outputs:
 def consume_batch(topic: DataFrame, batch_id: int, outputs: Outputs, max_retries: int = MAX_RETRIES) -> None:
     """Decode one micro-batch and store it, or route its rows when the store fails."""
     started = time.monotonic()
-    # Several outputs read the decoded rows.  Persisted blocks lost with an executor are
-    # recomputed from the source.
-    decoded = decode_envelopes(topic).persist()
+    decoded = decode_envelopes(topic)
+    if not (outputs.audit or outputs.quarantine):
+        _store_or_route(decoded.filter(~F.col("parse_error")), batch_id, outputs, max_retries)
+        return
+    # Counting, quarantine and store all read the decoded rows, so they are kept for the
+    # length of the batch; blocks lost with an executor are recomputed from the source.
+    decoded = decoded.persist()
     try:
         bad, good = F.count_if("parse_error"), F.count_if(~F.col("parse_error"))
         tally = decoded.agg(bad.alias("bad"), good.alias("good")).first()
-        events = decoded.filter(~F.col("parse_error"))
         counts = {"parse_error": tally["bad"]}
         if tally["bad"] and outputs.quarantine:
-            outputs.quarantine(decoded.filter("parse_error").select(*topic.columns), batch_id)
+            # The event's timestamp has taken the place of the record time; a broken row has none.
+            kept = [c for c in topic.columns if c != "timestamp"]
+            outputs.quarantine(decoded.filter("parse_error").select(*kept), batch_id)
         if tally["good"]:
-            try:
-                outputs.table(storage_rows(events), batch_id)
-                counts["success"] = tally["good"]
-            except Exception:
-                log.exception("batch %s could not be stored; routing its rows", batch_id)
-                counts.update(_route(events, batch_id, outputs, max_retries))
+            routed = _store_or_route(decoded.filter(~F.col("parse_error")), batch_id, outputs, max_retries)
+            counts.update({"success": tally["good"]} if routed is None else routed)
         if outputs.audit:
             outputs.audit(_audit_rows(topic, counts, time.monotonic() - started), batch_id)
     finally:
         decoded.unpersist()
 
 
-def _route(events: DataFrame, batch_id: int, outputs: Outputs, max_retries: int) -> dict[str, int]:
+def _store_or_route(events: DataFrame, batch_id: int, outputs: Outputs, max_retries: int) -> dict[str, int] | None:
+    """None when the batch is stored, else the number of rows that went each way."""
+    try:
+        outputs.table(storage_rows(events), batch_id)
+        return None
+    except Exception:
+        log.warning("batch %s could not be stored; routing its rows", batch_id, exc_info=True)
+    routed = route_failed(events, max_retries, outputs.retry is not None, outputs.dead is not None).persist()
+    try:
+        return _send(routed, batch_id, outputs)
+    finally:
+        routed.unpersist()
+
+
+def _send(routed: DataFrame, batch_id: int, outputs: Outputs) -> dict[str, int]:
     """Send each row to exactly one of retry and dead; rows with nowhere to go are counted as lost."""
-    routed = route_failed(events, max_retries, outputs.retry is not None, outputs.dead is not None)
+    # At most three routes, so three rows reach the driver.
     counts = {r["route"]: r["n"] for r in routed.groupBy("route").agg(F.count("*").alias("n")).collect()}
     dead = routed.filter(F.col("route") == DEAD)
     if counts.get(RETRY):
         try:
             outputs.retry(retry_rows(routed.filter(F.col("route") == RETRY)), batch_id)
         except Exception:
-            log.exception("retry rows of batch %s could not be written; giving them up", batch_id)
+            log.warning("retry rows of batch %s could not be written; giving them up", batch_id, exc_info=True)
             given_up = DEAD if outputs.dead else LOST
             counts[given_up] = counts.get(given_up, 0) + counts.pop(RETRY)
             dead = routed if outputs.dead else dead
