@@ -6,42 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def parse_document(text: Column, strict_trailing: bool = False) -> Column:
-    """VARIANT for JSON text, NULL when malformed.
+def with_mark(text: Column) -> Column:
+    """VARIANT of a two-element array: the document, and behind it the text's own hash.
 
-    Text after the first JSON value is ignored unless ``strict_trailing`` is set.
+    ``try_parse_json`` stops after the first value and ignores the rest.  In the array,
+    anything after the document breaks the array, closes it early, or takes the hash's
+    place, so :func:`document_alone` can tell.
     """
-    if not strict_trailing:
-        return F.try_parse_json(text)
-    # ``try_parse_json`` stops after the first value.  Put in an array with its own hash
-    # behind it, a clean document is element 0 and the hash element 1; anything after the
-    # document breaks the array, closes it early, or takes the hash's place.
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return F.when(F.try_variant_get(pair, "$[1]", "long") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+    mark = F.xxhash64(text).cast("string")
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
 
 
-def field(document: Column, name: str, as_type: str) -> Column:
-    """Value of a top-level field, NULL when missing, null or not convertible."""
-    return F.try_variant_get(document, f"$.{name}", as_type)
+def document_alone(marked: Column, text: Column) -> Column:
+    """The document of a :func:`with_mark` array, NULL when other text followed it."""
+    intact = F.try_variant_get(marked, "$[1]", "long") == F.xxhash64(text)
+    return F.when(intact, F.try_variant_get(marked, "$[0]", "variant"))
 
 
-def field_kind(document: Column, name: str) -> Column:
-    """JSON type name of a top-level field: NULL when missing, VOID when null."""
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
+def fields_of(document: Column, *names: str) -> Column:
+    """STRUCT of the named top-level fields, each still a VARIANT and NULL when missing.
 
-
-def is_text_or_absent(document: Column, name: str) -> Column:
-    return F.coalesce(field_kind(document, name), F.lit("VOID")).isin("VOID", "STRING")
+    NULL when the document is not an object.  One walk over the document serves all fields.
+    """
+    shape = ", ".join(f"{name}: variant" for name in names)
+    return F.try_variant_get(document, "$", f"struct<{shape}>")
 
 
-def is_integer_or_absent(document: Column, name: str) -> Column:
-    return F.coalesce(field_kind(document, name), F.lit("VOID")).isin("VOID", "BIGINT")
+def has_kind(value: Column, kind: str) -> Column:
+    """Whether a VARIANT field is of a JSON type, null, or missing."""
+    found = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    return (found == "VOID") | found.startswith(kind)
 
 
-def is_object_or_absent(document: Column, name: str) -> Column:
-    kind = F.coalesce(field_kind(document, name), F.lit("VOID"))
-    return (kind == "VOID") | kind.startswith("OBJECT")
+def scalar(value: Column, as_type: str) -> Column:
+    return F.try_variant_get(value, "$", as_type)
 
 
 def object_json(value: Column) -> Column:

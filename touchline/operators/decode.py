@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import documents as D
@@ -10,50 +10,57 @@ from touchline.functions.identifiers import canonical_uuid
 from touchline.functions.plans import computed_once
 from touchline.functions.times import parse_rfc3339
 
-_DOCUMENT = "_document"
-DECODED = ("malformed", "raw_event_id", "match_id", "event_type", "raw_timestamp", "team_id", "player_id", "metadata")
+# Wire fields and the JSON type each must have.
+FIELD_KINDS = {
+    "eventId": "STRING",
+    "matchId": "STRING",
+    "eventType": "STRING",
+    "timestamp": "STRING",
+    "teamId": "BIGINT",
+    "playerId": "STRING",
+    "metadata": "OBJECT",
+}
 
 
 def decode_documents(raw: DataFrame, column: str = "value", strict_trailing: bool = False) -> DataFrame:
     """Add the typed wire fields to a DataFrame of JSON text.
 
+    Text after the first JSON value is ignored unless ``strict_trailing`` is set.
     ``malformed`` is true when the text is not JSON, is neither an object nor null, or has
     a field of the wrong JSON type; all typed fields are then NULL.  Missing and null
     fields take their zero value ('' or 0).  Unknown keys are ignored.
     """
-    text = F.col(column).cast("string")
-    doc = F.col(_DOCUMENT)
-    kind = F.schema_of_variant(doc)
-    well_typed = (
-        (kind.startswith("OBJECT") | (kind == "VOID"))
-        & D.is_text_or_absent(doc, "eventId")
-        & D.is_text_or_absent(doc, "matchId")
-        & D.is_text_or_absent(doc, "eventType")
-        & D.is_text_or_absent(doc, "timestamp")
-        & D.is_integer_or_absent(doc, "teamId")
-        & D.is_text_or_absent(doc, "playerId")
-        & D.is_object_or_absent(doc, "metadata")
-    )
-    # One projection parses, the next one reads the parsed value: Catalyst keeps them
-    # apart because the parse is referenced many times, so each text is parsed once.
-    parsed = raw.withColumn(_DOCUMENT, D.parse_document(text, strict_trailing))
-    checked = parsed.withColumn("malformed", computed_once(~F.coalesce(well_typed, F.lit(False))))
+    text, doc = F.col(column).cast("string"), F.col("_document")
+    # Each projection reads the one before it several times, so Catalyst keeps them apart
+    # and every text is parsed, and every document walked, once.
+    parsed = raw.withColumn("_document", D.with_mark(text) if strict_trailing else F.try_parse_json(text))
+    if strict_trailing:
+        parsed = parsed.withColumn("_document", D.document_alone(doc, text))
+    split = parsed.withColumn("_fields", D.fields_of(doc, *FIELD_KINDS))
+
+    well_typed = F.lit(True)
+    for name, kind in FIELD_KINDS.items():
+        well_typed = well_typed & D.has_kind(F.col(f"_fields.{name}"), kind)
+    # A lone null is a document without fields.
+    usable = F.when(F.col("_fields").isNotNull(), well_typed).otherwise(F.coalesce(F.is_variant_null(doc), F.lit(False)))
+    checked = split.withColumn("malformed", computed_once(~usable))
     good = ~F.col("malformed")
 
-    def text_field(name: str):
-        return F.when(good, F.coalesce(D.field(doc, name, "string"), F.lit("")))
+    def value(name: str, as_type: str, missing) -> Column:
+        return F.when(good, F.coalesce(D.scalar(F.col(f"_fields.{name}"), as_type), F.lit(missing)))
 
+    metadata = F.col("_fields.metadata")
     return checked.withColumns(
         {
-            "raw_event_id": text_field("eventId"),
-            "match_id": text_field("matchId"),
-            "event_type": text_field("eventType"),
-            "raw_timestamp": text_field("timestamp"),
-            "team_id": F.when(good, F.coalesce(D.field(doc, "teamId", "long"), F.lit(0))),
-            "player_id": text_field("playerId"),
-            "metadata": F.when(good, D.field(doc, "metadata", "variant")),
+            "raw_event_id": value("eventId", "string", ""),
+            "match_id": value("matchId", "string", ""),
+            "event_type": value("eventType", "string", ""),
+            "raw_timestamp": value("timestamp", "string", ""),
+            "team_id": value("teamId", "long", 0),
+            "player_id": value("playerId", "string", ""),
+            "metadata": F.when(good & ~F.is_variant_null(metadata), metadata),
         }
-    ).drop(_DOCUMENT)
+    ).drop("_document", "_fields")
 
 
 def decode_envelopes(topic: DataFrame, column: str = "value") -> DataFrame:
