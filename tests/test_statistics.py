@@ -81,13 +81,22 @@ def test_percentiles_by_key_match_the_definition(spark):
     wanted = {"p0": 0, "p50": 50, "p95": 95, "p99": 99, "p100": 100}
     bounded = latency_percentiles(df, by=["key"], n=10_000, whole_ms=False, percentiles=wanted)
     exact = exact_percentiles(df, "duration_ms", wanted, by=["key"])
-    for result in (bounded, exact):
+    shuffled = exact_percentiles(df, "duration_ms", wanted, by=["key"], broadcast_buckets=0)
+    for result in (bounded, exact, shuffled):
         for row in result.collect():
             mine = [v for v, k in zip(values, keys) if k == row["key"]]
             for name, p in wanted.items():
                 assert row[name] == pytest.approx(expected(mine, p), abs=1e-9)
 
 
+def test_percentiles_keep_the_null_group_and_no_empty_one(spark):
+    df = samples(spark, [1, 2, 3, 9], [None, None, None, "k"])
+    for limit in (0, 100):
+        found = exact_percentiles(df, "duration_ms", {"p": 50}, by=["key"], broadcast_buckets=limit)
+        assert {tuple(r) for r in found.collect()} == {(None, 2.0), ("k", 9.0)}
+    assert exact_percentiles(df.filter("seq > 9"), "duration_ms", {"p": 50}).count() == 0
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False) | st.integers(-3, 3).map(float), min_size=1, max_size=40))
 def test_exact_percentiles_on_any_values(spark, values):

@@ -64,58 +64,84 @@ def value_bucket(value: Column) -> Column:
     )
 
 
+# Buckets that may be sent to every executor; above it the join is left to a shuffle.
+BROADCAST_BUCKETS = 50_000
+
+
 def exact_percentiles(
-    rows: DataFrame, value: str, percentiles: Mapping[str, float], by: Sequence[str] = ()
+    rows: DataFrame,
+    value: str,
+    percentiles: Mapping[str, float],
+    by: Sequence[str] = (),
+    broadcast_buckets: int = BROADCAST_BUCKETS,
 ) -> DataFrame:
     """Exact percentiles of groups of any size.
 
-    No group is gathered or sorted as a whole: values are counted, the counts are summed
-    into coarse value buckets (a few thousand per group), the buckets that hold the wanted
-    ranks are found, and only their values are put in order.
+    No group is gathered or sorted as a whole.  A first pass counts rows in coarse value
+    buckets (a few thousand per group, combined on the map side) and finds the buckets that
+    hold the wanted ranks, two per percentile and group.  A second pass puts only the
+    values of those buckets in order.  The first pass runs when this is called.
     """
-    keys = list(by) or ["_all"]
-    source = rows if by else rows.withColumn("_all", F.lit(0))
-    counts = (
-        source.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count("*").alias("_n"))
+    keys = list(by)
+    source = (
+        rows.filter(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_value"))
         .withColumn("_bucket", value_bucket(F.col("_value")))
     )
-    whole = Window.partitionBy(*keys)
-    upwards = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumns({"_end": F.sum("_size").over(upwards), "_total": F.sum("_size").over(whole)})
-        .withColumn("_start", F.col("_end") - F.col("_size"))
-    )
-    ranks = {}
-    for name, p in percentiles.items():
-        position = rank_position(p / 100, F.col("_total"))
-        ranks[name] = (position, F.floor(position), F.ceil(position))
-
-    def holds(start: str, end: str, rank: Column) -> Column:
-        return (rank >= F.col(start)) & (rank < F.col(end))
-
-    wanted = F.lit(False)
-    for _, lower, upper in ranks.values():
-        wanted = wanted | holds("_start", "_end", lower) | holds("_start", "_end", upper)
-    hit = buckets.filter(wanted).select(*keys, "_bucket", "_start", "_total")
+    positions = {name: rank_position(p / 100, F.col("_total")) for name, p in percentiles.items()}
+    hit = _buckets_to_open(source, keys, list(positions.values()))
+    few = hit.limit(broadcast_buckets + 1).collect()
+    grouping = [*keys, "_bucket", "_value"]
+    if len(few) <= broadcast_buckets:
+        hit = F.broadcast(rows.sparkSession.createDataFrame(few, hit.schema))
+        counts = _matching(source, hit, keys).groupBy(*grouping, "_start", "_total").agg(F.count("*").alias("_n"))
+    else:
+        counts = _matching(source.groupBy(*grouping).agg(F.count("*").alias("_n")), hit, keys)
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = counts.join(hit, [*keys, "_bucket"]).withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
+    ordered = counts.withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
     ordered = ordered.withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_value")))
+
     picked = {}
-    for name, (_, lower, upper) in ranks.items():
-        picked[f"_{name}_lo"] = F.max(F.when(holds("_from", "_to", lower), F.col("_value")))
-        picked[f"_{name}_hi"] = F.max(F.when(holds("_from", "_to", upper), F.col("_value")))
+    for name, position in positions.items():
+        picked[f"_{name}_lo"] = value_at(F.floor(position))
+        picked[f"_{name}_hi"] = value_at(F.ceil(position))
     folded = ordered.groupBy(*keys).agg(
         F.first("_total").alias("_total"), *[column.alias(name) for name, column in picked.items()]
     )
-    return folded.select(
-        *by,
+    return folded.filter(F.col("_total").isNotNull()).select(
+        *keys,
         *[
             interpolate(position, F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col("_total")).alias(name)
-            for name, (position, _, _) in ranks.items()
+            for name, position in positions.items()
         ],
     )
+
+
+def _buckets_to_open(source: DataFrame, keys: Sequence[str], positions: Sequence[Column]) -> DataFrame:
+    """Buckets holding a wanted rank, with the rank they start at and the group's size."""
+    whole = Window.partitionBy(*keys)
+    upwards = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = (
+        source.groupBy(*keys, "_bucket")
+        .agg(F.count("*").alias("_size"))
+        .withColumns({"_end": F.sum("_size").over(upwards), "_total": F.sum("_size").over(whole)})
+        .withColumn("_start", F.col("_end") - F.col("_size"))
+    )
+    wanted = F.lit(False)
+    for position in positions:
+        for rank in (F.floor(position), F.ceil(position)):
+            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_end")))
+    return buckets.filter(wanted).select(*keys, "_bucket", "_start", "_total")
+
+
+def _matching(rows: DataFrame, hit: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in the buckets to open; a NULL key is a group like any other."""
+    opened = hit.select(*[F.col(k).alias(f"_hit_{k}") for k in [*keys, "_bucket"]], "_start", "_total")
+    same = F.col("_bucket") == F.col("_hit__bucket")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_hit_{key}"))
+    return rows.join(opened, same).drop(*[f"_hit_{k}" for k in [*keys, "_bucket"]])
