@@ -74,6 +74,13 @@ def test_null_events_are_left_out(spark):
     assert storage_rows(rows).count() == publish_rows(rows).count() == receipts(rows).count() == 0
 
 
+def test_null_event_can_fail_the_job(spark):
+    rows = events(spark, (None, "m", "shot", "2024-01-15T14:30:00Z", 1, "", None))
+    with pytest.raises(Exception, match="event cannot be nil"):
+        publish_rows(rows, null_event_fails=True).collect()
+    assert publish_rows(one(spark), null_event_fails=True).count() == 1
+
+
 def test_envelope_text(spark):
     full = one(spark, '{"on_target": true, "distance": 18.5}', ts="2024-01-15T14:30:00.120Z").select(envelope_json()).first()[0]
     assert full == (

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,36 @@ def test_first_failing_check_wins(spark):
     assert [f for f, _ in check(spark, texts)] == fields
 
 
+def test_random_documents_against_the_rules(spark):
+    """Fields drawn from good, bad and wrongly typed values; expectations follow the written rules."""
+    rng = random.Random(17)
+    pools = {
+        "eventId": [GOOD["eventId"]] * 6 + ["nope", 5, None, MISSING],
+        "matchId": ["m"] * 6 + ["", 5, None, MISSING],
+        "eventType": ["goal"] * 6 + ["GOAL", True, None, MISSING],
+        "timestamp": [GOOD["timestamp"]] * 6 + ["2021-01-01", 1.5, None, MISSING],
+        "teamId": [1, 2] * 3 + [0, 7, "1", 1.5, None, MISSING],
+        "playerId": ["p"] * 6 + [5, [], None, MISSING],
+        "metadata": [{}, {"a": [1]}] * 3 + ["x", [], 3, None, MISSING],
+    }
+    kinds = {"teamId": int, "metadata": dict}
+
+    def expected(doc):
+        for name, value in doc.items():
+            if value is not None and value is not MISSING and type(value) is not kinds.get(name, str):
+                return (None, MALFORMED_MESSAGE)
+        for name in FIELD_ERRORS:
+            wanted = (1, 2) if name == "teamId" else ("m",) if name == "matchId" else (GOOD[name],)
+            if doc[name] not in wanted:
+                return (name, FIELD_ERRORS[name])
+        return (None, None)
+
+    docs = [{name: rng.choice(pool) for name, pool in pools.items()} for _ in range(800)]
+    found = check(spark, [changed(**doc) for doc in docs])
+    assert found == [expected(doc) for doc in docs]
+    assert len(set(found)) == 7
+
+
 def test_last_duplicate_key_wins(spark):
     text = changed()[:-1] + ',"teamId":2,"matchId":"other"}'
     raw = spark.createDataFrame([(text,)], "value string")

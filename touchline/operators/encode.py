@@ -56,10 +56,16 @@ def _common_headers() -> list[Column]:
     return [header("event_type", F.col("event_type")), header("event_id", F.col("event_id"))]
 
 
-def publish_rows(events: DataFrame, topic: str = "events") -> DataFrame:
-    """Topic rows keyed by match, so that one match stays in order in one partition."""
-    return present(events).select(
-        F.col("match_id").cast("binary").alias("key"),
+def publish_rows(events: DataFrame, topic: str = "events", null_event_fails: bool = False) -> DataFrame:
+    """Topic rows keyed by match, so that one match stays in order in one partition.
+
+    Null events are left out, or fail the job with ``null_event_fails``.
+    """
+    key = F.col("match_id").cast("binary")
+    if null_event_fails:
+        key = F.when(F.col("event_id").isNull(), F.raise_error(F.lit("event cannot be nil"))).otherwise(key)
+    return (events if null_event_fails else present(events)).select(
+        key.alias("key"),
         envelope_json().cast("binary").alias("value"),
         F.array(*_common_headers()).alias("headers"),
         F.lit(topic).alias("topic"),
