@@ -20,10 +20,6 @@ TUNING_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The JVM leaves methods above 8,000 bytes of code uncompiled.  A decode fused into one
-    # generated method is larger than that and runs two to three times slower than the same
-    # plan generated operator by operator.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Newest-N operators keep up to 10,000 rows per group; above the default of 1,000
     # Spark would give up trimming the groups before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
