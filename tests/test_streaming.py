@@ -69,6 +69,13 @@ def test_repeated_batch_is_stored_once(spark, tmp_path):
     assert read_match_events(spark, f"{tmp_path}/table").count() == batch.count()
 
 
+def test_a_batch_writes_one_file_per_date(spark, tmp_path):
+    batch = publish_rows(E.valid_events(spark, SF)).repartition(6)
+    consume_batch(batch, 0, Outputs(match_events_sink(f"{tmp_path}/table")))
+    dates = read_match_events(spark, f"{tmp_path}/table").select("event_date").distinct().count()
+    assert len(list((tmp_path / "table").rglob("*.parquet"))) == dates > 20
+
+
 def test_restart_continues_after_the_last_batch(spark, tmp_path):
     rows = publish_rows(E.valid_events(spark, SF))
     outputs = Outputs(match_events_sink(f"{tmp_path}/table"))
