@@ -166,7 +166,17 @@ def failed(spark, *counts):
         headers = [] if count is None else [("retry_count", bytearray(count))]
         rows.append((n, [("event_id", bytearray(b"x")), *headers]))
     keyed = spark.createDataFrame(rows, "n int, headers array<struct<key:string,value:binary>>")
-    return keyed.crossJoin(one(spark))
+    return keyed.select(
+        "n",
+        "headers",
+        F.lit(UUID).alias("event_id"),
+        F.lit("match-1").alias("match_id"),
+        F.lit("shot").alias("event_type"),
+        F.to_timestamp(F.lit("2024-01-15T14:30:00Z")).alias("timestamp"),
+        F.lit(2).alias("team_id"),
+        F.lit("player-789").alias("player_id"),
+        F.parse_json(F.lit("{}")).alias("metadata"),
+    )
 
 
 def test_retry_routes(spark):
