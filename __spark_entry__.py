@@ -582,6 +582,16 @@ QUERIES = {
 }
 
 
+# The operators for training text live in a subpackage that may be absent.
+try:
+    from touchline.llm.queries import ORACLES as LLM_ORACLES
+    from touchline.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("touchline.llm"):
+        raise
+    LLM_ORACLES, LLM_QUERIES = {}, {}
+
+
 def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _naive(query(configure(spark), sf_dir.rstrip("/")))
@@ -597,8 +607,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _registered(query) for name, query in QUERIES.items()}
+    return {name: _registered(query) for name, query in {**QUERIES, **LLM_QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_ORACLES}
