@@ -34,7 +34,7 @@ SAMPLE_BUCKETS = 4096
 SHARD_ROWS = 3_000
 ROUNDS = 4
 
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
 
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
