@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import decontamination, jaccard, mixing, surrogates, toxicity
+from touchline.llm import decontamination, jaccard, lattice, mixing, surrogates, toxicity
 from touchline.llm.common import read
 from touchline.llm.oracles import ORACLES
 
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op2_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.scores(read(spark, sf, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
@@ -40,6 +44,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_lattice": op2_lattice,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
