@@ -99,4 +99,36 @@ select laid.doc_id, cast(size as bigint) as size, cast(laid.s as bigint) as sour
 from laid join used using (place)
 """
 
-ORACLES = {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_mixing": OP5}
+OP6 = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, t, r, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)
+), f as (
+  select *, length(role) + length(text) + 24
+         + len(regexp_extract_all(text, '<\\*\|'))
+           * cast(text like '%<|%' or regexp_matches(text, '<\\+\|') as integer) as n from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(n) as bigint) as formatted_chars
+from f group by conv_id
+"""
+
+OP9 = """
+with v as (
+  select row_number() over () as uid, vec_id as id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.uid, q.id as query_id, c.id as vec_id,
+         cast(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.id % 100 = 0 and q.uid <> c.uid and len(q.v) = len(c.v)
+)
+select query_id, cast(rank as integer) as rank, vec_id, coalesce(score, 0) as score from (
+  select *, row_number() over (partition by uid order by score desc, vec_id) as rank from s) where rank <= 10
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_mixing": OP5, "op6_chat": OP6, "op9_cover_tree": OP9}

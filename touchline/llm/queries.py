@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import decontamination, jaccard, lattice, mixing, surrogates, toxicity
+from touchline.llm import (
+    chat,
+    covertree,
+    decontamination,
+    jaccard,
+    lattice,
+    mixing,
+    resampling,
+    rollups,
+    surrogates,
+    toxicity,
+)
 from touchline.llm.common import read
 from touchline.llm.oracles import ORACLES
 
@@ -32,10 +43,26 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(read(spark, sf, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.digests(chat.formatted_turns(chat.with_hostile(read(spark, sf, "conversations"))))
+
+
 def op7_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return surrogates.surrogate_documents(read(spark, sf, "documents"))
 
 
+def op8_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+def op9_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return covertree.top_k(read(spark, sf, "embeddings"))
+
+
+def op10_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.maintained(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -48,6 +75,10 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
     "op7_surrogates": op7_surrogates,
+    "op8_resampling": op8_resampling,
+    "op9_cover_tree": op9_cover_tree,
+    "op10_rollups": op10_rollups,
     "pipeline": pipeline,
 }

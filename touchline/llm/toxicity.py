@@ -85,12 +85,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], cells: np.ndarray, z: np.ndarray, n
         n[at] = after
 
 
-STATE = "cell long, z double, n double, shards long"
+STATE = "cell long, z double, n double"
 BIAS_CELL = -1
 
 
 def _shard_pass(held):
-    """Learns one shard from the common state and gives the cells that it touched."""
+    """Learns one shard from the common state and gives the cells in which it has gathered something."""
 
     def learn(batch: pa.Table) -> pa.Table:
         order = np.lexsort((batch["doc_id"].to_numpy(), batch["turn"].to_numpy()))
@@ -106,15 +106,9 @@ def _shard_pass(held):
         z[-1], n[-1] = z0[-1], n0[-1]
         bias = len(cells)
         ftrl([(np.append(np.searchsorted(cells, r), bias), labels[i]) for r, i in zip(rows, order, strict=True)], cells, z, n)
-        # A cell that stays below the L1 bound in a shard has no weight; what it gathered is kept for the next round.
-        return pa.table(
-            {
-                "cell": np.append(cells.astype(np.int64), BIAS_CELL),
-                "z": z,
-                "n": n,
-                "shards": np.ones(len(cells) + 1, np.int64),
-            }
-        )
+        # Cells far below the L1 bound are most of all, have no weight and would not get one from an average.
+        told = np.append(np.abs(z[:-1]) > L1 / 2, True)
+        return pa.table({"cell": np.append(cells.astype(np.int64), BIAS_CELL)[told], "z": z[told], "n": n[told]})
 
     return learn
 
@@ -163,9 +157,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         state = spark.sparkContext.broadcast(held)
         passed = rows.groupBy("shard").applyInArrow(_shard_pass(state), STATE)
         # What several shards know is averaged; a cell that few of them have seen keeps what these found.
-        mean = passed.groupBy("cell").agg(
-            (F.sum("z") / F.sum("shards")).alias("z"), (F.sum("n") / F.sum("shards")).alias("n")
-        )
+        mean = passed.groupBy("cell").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
         # Cells without weight start afresh, which keeps the state as short as the weights.
         mean = mean.where((F.abs("z") > L1) | (F.col("cell") == BIAS_CELL))
         learned = mean.toPandas().sort_values("cell")
