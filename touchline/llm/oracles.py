@@ -118,13 +118,13 @@ from f group by conv_id
 
 OP9 = """
 with v as (
-  select row_number() over () as uid, vec_id as id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+  select row_number() over () as uid, vec_id as id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
   from embeddings
   where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
   select q.uid, q.id as query_id, c.id as vec_id,
-         cast(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) as bigint) as score
+         cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
   from v q join v c on q.id % 100 = 0 and q.uid <> c.uid and len(q.v) = len(c.v)
 )
 select query_id, cast(rank as integer) as rank, vec_id, coalesce(score, 0) as score from (
