@@ -5,8 +5,8 @@ A text's features are the distinct hashes of its words, of neighbours, and of wo
 is a short list of cells that every task holds.
 
 Learning: the labelled rows, at most ``SAMPLE_ROWS`` of them by a hash of doc_id, are dealt to shards of a bounded
-number of rows. In each round every shard runs FTRL from the common state in a task of its own, and the states are
-averaged by cell. Texts of the sample are turned into features once, in a stored table.
+number of rows. Cells in too few texts are left out. In each round every shard runs FTRL from the common state in a task of its own, and the
+states, a bounded number of cells in a bounded number of shards, are averaged by cell. Texts of the sample are turned into features once, in a stored table.
 
 Defined cases: null and empty texts have no feature and get the score of the bias alone. A null label, or one other
 than 0 and 1, is no label; where a doc_id has several labels it is toxic if one says so. A null doc_id has no label
@@ -17,6 +17,7 @@ score is 0 (or 1, if all labels are 1). Repeated rows are scored row by row. Oth
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,8 @@ BITS = 22
 SAMPLE_ROWS = 24_000
 SAMPLE_BUCKETS = 4096
 SHARD_ROWS = 3_000
+#: Cells in fewer texts of the sample than this, or this share of them, are left out.
+LEAST_TEXTS, LEAST_SHARE = 3, 2_000
 ROUNDS = 4
 
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
@@ -72,8 +75,8 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(size > 0, -np.sign(z) * size / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], cells: np.ndarray, z: np.ndarray, n: np.ndarray) -> None:
-    """One pass over rows of (positions in ``cells``, label); ``z`` and ``n`` change in place, the bias is last."""
+def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+    """One pass over rows of (places in the state, label); ``z`` and ``n`` change in place, the bias is last."""
     for at, label in rows:
         w = weights_of(z[at], n[at])
         w[-1] = -z[at[-1]] / ((BETA + np.sqrt(n[at[-1]])) / ALPHA)
@@ -85,34 +88,48 @@ def ftrl(rows: list[tuple[np.ndarray, int]], cells: np.ndarray, z: np.ndarray, n
         n[at] = after
 
 
-STATE = "cell long, z double, n double"
-BIAS_CELL = -1
+PASSED = "z binary, n binary"
 
 
 def _shard_pass(held):
-    """Learns one shard from the common state and gives the cells in which it has gathered something."""
+    """Learns one shard from the common state; one row with the shard's state, a number for each cell of the model."""
 
     def learn(batch: pa.Table) -> pa.Table:
         order = np.lexsort((batch["doc_id"].to_numpy(), batch["turn"].to_numpy()))
         texts, labels = batch["cells"].to_pylist(), batch["toxic"].to_pylist()
-        rows = [np.frombuffer(texts[i], np.int32) for i in order]
-        cells = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int32)
-        z, n = np.zeros(len(cells) + 1), np.zeros(len(cells) + 1)
-        known, z0, n0 = held.value
-        place = np.searchsorted(known, cells)
-        place[place == len(known)] = 0
-        same = known[place] == cells if len(known) else np.zeros(len(cells), bool)
-        z[:-1][same], n[:-1][same] = z0[place[same]], n0[place[same]]
-        z[-1], n[-1] = z0[-1], n0[-1]
-        bias = len(cells)
-        ftrl([(np.append(np.searchsorted(cells, r), bias), labels[i]) for r, i in zip(rows, order, strict=True)], cells, z, n)
-        # Cells far below the L1 bound are most of all, have no weight and would not get one from an average.
-        told = np.append(np.abs(z[:-1]) > L1 / 2, True)
-        return pa.table({"cell": np.append(cells.astype(np.int64), BIAS_CELL)[told], "z": z[told], "n": n[told]})
+        known, z, n = held.value
+        z, n, bias = z.astype(np.float64), n.astype(np.float64), len(known)
+        rows = []
+        for i in order:
+            cells = np.frombuffer(texts[i], np.int32)
+            at = np.searchsorted(known, cells)
+            at[at == bias] = 0
+            at = at[known[at] == cells] if bias else at
+            rows.append((np.append(at, bias), labels[i]))
+        ftrl(rows, z, n)
+        return pa.table({k: pa.array([v.astype(np.float32).tobytes()], pa.binary()) for k, v in (("z", z), ("n", n))})
 
     return learn
 
 
+def _cell_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each cell occurs, up to 255, one row for a task."""
+    total = np.zeros(1 << BITS, np.uint8)
+    for batch in batches:
+        for cells in batch.column("cells").to_pylist():
+            at = np.frombuffer(cells, np.int32)
+            total[at] += total[at] < 255
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["texts"])
+
+
+def frequent_cells(rows: DataFrame, least: int) -> np.ndarray:
+    """Cells that occur in ``least`` texts of the sample or more. The sample's shards bound the rows that come back."""
+    total = np.zeros(1 << BITS, np.int64)
+    for row in rows.select("cells").mapInArrow(_cell_texts, "texts binary").toLocalIterator():
+        total += np.frombuffer(row["texts"], np.uint8)
+    return np.flatnonzero(total >= least).astype(np.int32)
+
+
 def labelled(labels: DataFrame) -> DataFrame:
     """One row for each labelled doc_id that may be learned from."""
     return (
@@ -151,23 +168,30 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     rows = per_row(chosen, "text", compute, FEATURES, ["doc_id", "toxic"])
     shards = max(1, -(-sum(counts.values()) // SHARD_ROWS))
     rows = rows.withColumn("turn", F.xxhash64("doc_id", F.lit("order"))).withColumn("shard", F.pmod("turn", F.lit(shards)))
-    rows = stored(rows, "features")
-    held = (np.empty(0, np.int64), np.zeros(1), np.zeros(1))
+    # One file for each shard, so that the counts of cells come back in as few rows.
+    rows = stored(rows.repartition(shards, "shard"), "features")
+    size = sum(counts.values())
+    cells = frequent_cells(rows, max(LEAST_TEXTS, -(-size // LEAST_SHARE)))
+    z, n = np.zeros(len(cells) + 1, np.float32), np.zeros(len(cells) + 1, np.float32)
     for _ in range(ROUNDS):
-        state = spark.sparkContext.broadcast(held)
-        passed = rows.groupBy("shard").applyInArrow(_shard_pass(state), STATE)
-        # What several shards know is averaged; a cell that few of them have seen keeps what these found.
-        mean = passed.groupBy("cell").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
-        # Cells without weight start afresh, which keeps the state as short as the weights.
-        mean = mean.where((F.abs("z") > L1) | (F.col("cell") == BIAS_CELL))
-        learned = mean.toPandas().sort_values("cell")
-        bias = learned["cell"].to_numpy() == BIAS_CELL
-        z, n = learned["z"].to_numpy(), learned["n"].to_numpy()
-        held = (learned["cell"].to_numpy()[~bias], np.append(z[~bias], z[bias]), np.append(n[~bias], n[bias]))
+        state = spark.sparkContext.broadcast((cells, z, n))
+        sums = [np.zeros(len(z)) for _ in range(3)]
+        for row in rows.groupBy("shard").applyInArrow(_shard_pass(state), PASSED).toLocalIterator():
+            z_s, n_s = np.frombuffer(row["z"], np.float32), np.frombuffer(row["n"], np.float32)
+            # A shard without a cell has nothing to say about it.
+            met = n_s != n
+            for total, values in zip(sums, (z_s, n_s, met), strict=True):
+                total += np.where(met, values, 0)
+        met = sums[2] > 0
+        z = np.where(met, sums[0] / np.maximum(sums[2], 1), z).astype(np.float32)
+        n = np.where(met, sums[1] / np.maximum(sums[2], 1), n).astype(np.float32)
+        # Cells without a weight start afresh.
+        idle = np.abs(z) <= L1
+        idle[-1] = False
+        z[idle], n[idle] = 0, 0
         state.unpersist()
-    cells, z, n = held
     w = weights_of(z[:-1], n[:-1])
-    return Model(cells[w != 0], w[w != 0].astype(np.float32), float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA)))
+    return Model(cells[w != 0].astype(np.int64), w[w != 0].astype(np.float32), float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA)))
 
 
 def score_text(text: bytes | None, table: np.ndarray, bias: float) -> float:
