@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,12 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.translate(SPACED_WORDS).split()
 
 
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import this package from wherever the session was started."""
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -75,6 +75,7 @@ def targets(rows: DataFrame) -> DataFrame:
     share = (F.col("weight") * F.col("free.left_words")).cast("double") / F.col("free.left_weights")
     cap = (EPOCHS * F.col("source_size")).cast("double")
     ranked = ranked.withColumn("target", F.when(F.col("turn") < F.col("free.turn"), cap).otherwise(share))
+    words = F.greatest(F.col("words"), F.lit(1))
     upto = F.sum("target").over(in_order.rowsBetween(W.unboundedPreceding, 0))
     return ranked.select(
         "source",
@@ -82,9 +83,8 @@ def targets(rows: DataFrame) -> DataFrame:
         "source_size",
         "target",
         F.ceil(F.col("source_size") / BLOCK).alias("blocks"),
-        ((upto - F.col("target")) / F.col("words")).alias("low"),
-        F.when(F.col("place") == F.max("place").over(everything), 2.0).otherwise(upto / F.col("words")).alias("high"),
-        "words",
+        ((upto - F.col("target")) / words).alias("low"),
+        F.when(F.col("place") == F.max("place").over(everything), 2.0).otherwise(upto / words).alias("high"),
     )
 
 
@@ -98,7 +98,7 @@ def point(slot: Column) -> Column:
 def schedule(sources: DataFrame) -> DataFrame:
     """slot, place of its source, and its rank among the slots of that source."""
     spark = sources.sparkSession
-    words = (sources.agg(F.max("words")).first() or [None])[0] or 0
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
     slots = spark.range(-(-words // BLOCK)).withColumnRenamed("id", "slot").withColumn("at", point(F.col("slot")))
     slots = slots.withColumn("cell", F.floor(F.col("at") * CELLS))
     # The line is cut into cells, so that slots and sources meet by equality.

@@ -16,12 +16,18 @@ from touchline.llm import (
     surrogates,
     toxicity,
 )
-from touchline.llm.common import read
+from touchline.llm.common import find_package
+from touchline.llm.common import read as table
 from touchline.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    find_package(spark)
+    return table(spark, sf, name)
+
+
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.drop("spans")
@@ -66,6 +72,7 @@ def op10_rollups(spark: SparkSession, sf: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
+    find_package(spark)
     return corpus_pipeline.run(spark, sf)
 
 

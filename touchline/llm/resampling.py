@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.llm.common import id_text, per_row, short_batches, spaced_words, stored, utf8
-from pyspark.sql import types as T
 
 BITS = 16
 SAMPLE_ROWS = 20_000
 SAMPLE_BUCKETS = 4096
-FRACTION = 0.5
+#: The part of the documents to choose: about the part of the labelled ones that are good.
+FRACTION = 0.85
 SHARPNESS = 20.0
 #: Observations that the raw model is worth in the target model, in every cell's proportion.
 PRIOR = 1 << BITS
