@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oracle_queries import ORACLES
@@ -19,7 +19,7 @@ from touchline.operators.encode import (
     retry_rows,
     storage_rows,
 )
-from touchline.operators.lineup import formations, quota_sample, with_position
+from touchline.operators.lineup import quota_sample, with_position
 from touchline.operators.newest import newest
 from touchline.operators.percentiles import exact_percentiles, latency_percentiles
 from touchline.operators.request_stats import error_rate, histogram, labelled_counts, path_template
@@ -44,12 +44,19 @@ from touchline.schema import (
 )
 from touchline.session import configure, new_run_dir
 from touchline.sources import events_table as E
-from touchline.sources.tables import read_match_events, read_raw_event_stream, write_clustered
+from touchline.sources.tables import (
+    read_ledger,
+    read_match_events,
+    read_raw_event_stream,
+    read_raw_events,
+    read_roster,
+    write_clustered,
+)
 from touchline.sources.topics import append_to_topic, read_topic, read_topic_stream
 from touchline.streaming.consumer import Outputs, start_consumer
 from touchline.streaming.ingest import start_ingest
-from touchline.streaming.live import distinct_events, latest_cells, live_minute_cells, start_live_cells
-from touchline.streaming.sinks import match_events_sink, parquet_batches
+from touchline.streaming.live import latest_cells, live_minute_cells, start_live_cells
+from touchline.streaming.sinks import distinct_match_events_sink, match_events_sink, parquet_batches
 
 ONE_MATCH = "match-2024-01-05-1"
 SEED = 7
@@ -412,13 +419,14 @@ def delivery_counts(spark, sf):
     return L.delivery_counts(E.request_log(spark, sf).withColumnRenamed("status", "status_code"), "path")
 
 
-def lineup(spark, sf):
-    players = E.roster(spark, sf)
-    return quota_sample(players, formations(players, SEED), SEED)
+def _quotas(spark, sf):
+    """A tenth of the players of each team and position, rounded up."""
+    counts = E.roster(spark, sf).groupBy("team_id", "position").agg(F.count("*").alias("n"))
+    return counts.select("team_id", "position", F.ceil(F.col("n") / 10).cast("int").alias("quota"))
 
 
-def lineup_formations(spark, sf):
-    return formations(E.roster(spark, sf), SEED)
+def stratified_sample(spark, sf):
+    return quota_sample(E.roster(spark, sf), _quotas(spark, sf), ["team_id", "position"], "id", SEED)
 
 
 def goalkeepers(spark, sf):
@@ -451,9 +459,8 @@ def stream_outcomes(spark, sf):
     """A consumer whose store is down: audit of parse errors, retries and dead letters."""
     run = new_run_dir(spark, "outcomes")
     good = E.topic_rows(spark, sf)
-    broken = E.raw_documents(spark, sf).filter("try_parse_json(value) is null").select(
-        F.col("value").cast("binary").alias("value")
-    )
+    documents = decode_envelopes(E.raw_documents(spark, sf))
+    broken = documents.filter("parse_error").select(F.col("value").cast("binary").alias("value"))
     append_to_topic(good, f"{run}/topic")
     append_to_topic(broken, f"{run}/topic")
 
@@ -480,40 +487,118 @@ def stream_outcomes(spark, sf):
 def stream_minute_counts(spark, sf):
     """Live minute counts fed by the topic in several batches, in an order unrelated to time."""
     run = new_run_dir(spark, "live")
-    publish_rows(E.valid_events(spark, sf)).repartition(4, "key").write.parquet(f"{run}/topic")
+    publish_rows(E.valid_events(spark, sf)).repartition(4).write.parquet(f"{run}/topic")
     events = decode_envelopes(read_topic_stream(spark, f"{run}/topic", max_files_per_trigger=1))
     cells = live_minute_cells(events.filter(~F.col("parse_error")))
     _drained(start_live_cells(cells, f"{run}/cells", f"{run}/ckpt", available_now=True))
     return latest_cells(spark.read.parquet(f"{run}/cells"))
 
 
+def _published(spark, sf, run, parts, keep):
+    """Every event in a topic of ``parts`` appends, newest part first; a part takes the events that ``keep`` names."""
+    rows = E.valid_events(spark, sf, "seq")
+    for part in reversed(range(parts)):
+        append_to_topic(publish_rows(rows.filter(keep(part))).coalesce(1), f"{run}/topic/{parts - part}")
+
+
+def stream_two_writers(spark, sf):
+    """Two consumers with checkpoints of their own store halves of the topic in one table."""
+    run = new_run_dir(spark, "writers")
+    rows = E.valid_events(spark, sf, "seq")
+    for half in (0, 1):
+        append_to_topic(publish_rows(rows.filter(F.col("seq") % 2 == half)), f"{run}/topic-{half}")
+        topic = read_topic_stream(spark, f"{run}/topic-{half}")
+        outputs = Outputs(match_events_sink(f"{run}/table"))
+        _drained(start_consumer(topic, outputs, f"{run}/ckpt-{half}", available_now=True))
+    return M.events_by_type(read_match_events(spark, f"{run}/table"))
+
+
 def stream_distinct(spark, sf):
-    """Every event published twice, repeats dropped on the way in."""
+    """Every event comes at least twice over four batches, newest week first; each is stored once."""
     run = new_run_dir(spark, "distinct")
-    once = publish_rows(E.valid_events(spark, sf))
-    append_to_topic(once.unionByName(once), f"{run}/topic")
-    events = decode_envelopes(read_topic_stream(spark, f"{run}/topic")).filter(~F.col("parse_error"))
-    kept = distinct_events(events.select("event_id", "match_id", "event_type", "timestamp"), "40 days")
-    query = kept.writeStream.option("checkpointLocation", f"{run}/ckpt").foreachBatch(parquet_batches(f"{run}/table"))
-    _drained(query.trigger(availableNow=True).start())
-    return M.events_by_type(spark.read.parquet(f"{run}/table"))
+    week = F.least(F.floor(F.dayofmonth("timestamp") / 8), F.lit(3))
+    # Each part holds one week, and every part once more the events with an even number of all weeks.
+    _published(spark, sf, run, 4, lambda part: (week == part) | (F.col("seq") % 2 == 0))
+    topic = read_topic_stream(spark, f"{run}/topic", max_files_per_trigger=1)
+    outputs = Outputs(distinct_match_events_sink(f"{run}/table"))
+    _drained(start_consumer(topic, outputs, f"{run}/ckpt", available_now=True))
+    return M.events_by_type(read_match_events(spark, f"{run}/table"))
+
+
+def stream_audit_counters(spark, sf):
+    """Rows and batches by outcome, from the audit that a consumer wrote of good and unreadable rows."""
+    run = new_run_dir(spark, "audit")
+    documents = E.raw_documents(spark, sf).select(F.col("value").cast("binary").alias("value"))
+    append_to_topic(documents.coalesce(1), f"{run}/topic")
+    outputs = Outputs(
+        match_events_sink(f"{run}/table"),
+        audit=parquet_batches(f"{run}/audit"),
+        quarantine=parquet_batches(f"{run}/quarantine"),
+    )
+    _drained(start_consumer(read_topic_stream(spark, f"{run}/topic"), outputs, f"{run}/ckpt", available_now=True))
+    rows = spark.read.parquet(f"{run}/audit")
+    return rows.groupBy("outcome").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"))
 
 
 def clustered_table(spark, sf):
-    """match_events rewritten by date and match, read back for one match and one date."""
+    """match_events rewritten by date and match, all of it read back."""
     path = new_run_dir(spark, "clustered")
     write_clustered(storage_rows(E.valid_events(spark, sf)), path)
-    return M.for_match(read_match_events(spark, path, "2024-01-05", "2024-01-05"), ONE_MATCH)
+    return read_match_events(spark, path)
 
 
 def topic_roundtrip(spark, sf):
-    """Rows appended to a stored topic and counted per partition key."""
+    """Rows appended to a stored topic, read back."""
     path = new_run_dir(spark, "topic") + "/topic"
     append_to_topic(publish_rows(E.valid_events(spark, sf)), path)
-    rows = read_topic(spark, path)
-    return rows.groupBy(F.col("key").cast("string").alias("match_id")).agg(
-        F.count("*").alias("rows"), F.count_distinct("partition").alias("partitions")
-    )
+    return storage_rows(decode_envelopes(read_topic(spark, path)).filter(~F.col("parse_error")))
+
+
+def raw_text_errors(spark, sf):
+    """Raw JSON text as a batch: written as lines, read back, checked."""
+    path = new_run_dir(spark, "raw")
+    E.raw_documents(spark, sf).select("value").write.text(path)
+    return labelled_counts(validate(decode_documents(read_raw_events(spark, path))), "error_field", "error_message", name="documents")
+
+
+def roster_scan(spark, sf):
+    """A roster as a CSV file, read back."""
+    path = new_run_dir(spark, "roster")
+    E.roster(spark, sf).filter("team_id = 1").select("id", "name", F.upper("position").alias("position")).write.csv(path, header=True)
+    return read_roster(spark, path, 1)
+
+
+def ledger_scan(spark, sf):
+    """A stored ledger read back oldest first, each entry with its place in that order."""
+    path = new_run_dir(spark, "ledger")
+    E.ledger(spark, sf).write.parquet(path)
+    rows = read_ledger(spark, path)
+    return rows.select("id", "retry_count", F.row_number().over(Window.orderBy("created_at", "id")).alias("place"))
+
+
+def null_rows_skipped(spark, sf):
+    """Events of which every third is null: only the others are published."""
+    rows = E.valid_events(spark, sf, "seq")
+    nulled = rows.withColumn("event_id", F.when(F.col("seq") % 3 != 0, F.col("event_id")))
+    return publish_rows(nulled).select(header_value(F.col("headers"), "event_id").cast("string").alias("event_id"))
+
+
+def unknown_match(spark, sf):
+    """Metrics of a match that has no events: no row."""
+    return _flat(P.match_metrics(E.match_events(spark, sf), "match-of-nobody"))
+
+
+def percentile_epoch(spark, sf):
+    """Percentiles of times in epoch milliseconds: values that differ in their last digits only."""
+    millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("double")
+    rows = E.events(spark, sf).select("event_type", millis.alias("at"))
+    return exact_percentiles(rows, "at", {"p50": 50, "p95": 95, "p99": 99}, by=["event_type"])
+
+
+def metrics_json_with_latency(spark, sf):
+    """The metrics document as every reader gets it, response percentiles included."""
+    metrics = P.match_metrics(E.match_events(spark, sf))
+    return P.metrics_json(P.with_latency(metrics, latency_percentiles(E.latency_samples(spark, sf))))
 
 
 QUERIES = {
@@ -570,15 +655,23 @@ QUERIES = {
     "ledger_eligible": ledger_eligible,
     "ledger_append": ledger_append,
     "delivery_counts": delivery_counts,
-    "quota_sample": lineup,
-    "lineup_formations": lineup_formations,
+    "quota_sample": stratified_sample,
     "roster_position": goalkeepers,
     "stream_ingest_counts": stream_ingest_counts,
     "stream_outcomes": stream_outcomes,
     "stream_minute_counts": stream_minute_counts,
     "stream_distinct": stream_distinct,
+    "stream_two_writers": stream_two_writers,
+    "stream_audit_counters": stream_audit_counters,
     "clustered_table": clustered_table,
     "topic_roundtrip": topic_roundtrip,
+    "raw_text_errors": raw_text_errors,
+    "roster_scan": roster_scan,
+    "ledger_scan": ledger_scan,
+    "null_rows_skipped": null_rows_skipped,
+    "unknown_match": unknown_match,
+    "percentile_epoch": percentile_epoch,
+    "match_metrics_json_with_latency": metrics_json_with_latency,
 }
 
 

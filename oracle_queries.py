@@ -6,14 +6,12 @@ percentiles by rank, expected validation results from the way the documents are
 
 from __future__ import annotations
 
-from touchline.schema import (
-    BATCH_ROWS_BUCKETS,
-    CONSUME_SECONDS_BUCKETS,
-    FORMATIONS,
-    MESSAGE_BYTES_BUCKETS,
-    QUERY_SECONDS_BUCKETS,
-    REQUEST_SECONDS_BUCKETS,
-)
+# Bucket bounds, written out on their own.
+REQUEST_SECONDS_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+QUERY_SECONDS_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+CONSUME_SECONDS_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+BATCH_ROWS_BUCKETS = (1, 10, 50, 100, 500, 1000, 5000, 10000)
+MESSAGE_BYTES_BUCKETS = (100, 500, 1000, 5000, 10000, 50000, 100000)
 
 ONE_MATCH = "match-2024-01-05-1"
 SEED = 7
@@ -160,15 +158,9 @@ players as (
   from customer
 )"""
 
-QUOTAS = f"""
-choices(i, position, quota) as (values {', '.join(
-    f"({i}, '{position}', {quota})" for i, f in enumerate(FORMATIONS) for position, quota in f.items()
-)}),
+QUOTAS = """
 quotas as (
-  select team_id, position, cast(quota as integer) as quota
-  from (select distinct team_id,
-               cast('0x' || substr(md5('{SEED}:' || cast(team_id as varchar)), 1, 8) as bigint) % {len(FORMATIONS)} as i
-        from players) join choices using (i)
+  select team_id, position, cast(ceil(count(*) / 10.0) as integer) as quota from players group by 1, 2
 )"""
 
 ROUTED = f"""{ME},
@@ -345,22 +337,43 @@ ORACLES = {
     "quota_sample": f"""with {PLAYERS}, {QUOTAS}
         select team_id, id, name, position from (
           select p.*, quota, row_number() over (partition by p.team_id, p.position
-            order by md5('{SEED}:' || cast(p.team_id as varchar) || ':' || id), id) as draw
+            order by md5('{SEED}:' || cast(p.team_id as varchar) || ':' || p.position || ':' || id), id) as draw
           from players p join quotas q on p.team_id = q.team_id and p.position = q.position)
         where draw <= quota""",
-    "lineup_formations": f"with {PLAYERS}, {QUOTAS} select * from quotas",
     "roster_position": f"with {PLAYERS} select * from players where position = 'gk'",
     "stream_ingest_counts": f"""with {CHECKED}
         select match_id, event_type, count(*) as event_count from checked where error_message is null group by 1, 2""",
     "stream_outcomes": f"""with {ROUTED}
         select route as outcome, count(*) as audited, count(*) as written from routed group by 1
         union all
-        select 'parse_error', count(*), count(*) from routed where seq % 16 = 7""",
+        select 'parse_error', count(*), count(*) from routed where seq % 16 in (0, 3, 5, 6, 7, 9)""",
     "stream_minute_counts": f"""with {ME}
         select match_id, minute, event_type, count(*) as event_count, min(ts) as first_event_at,
           max(ts) as last_event_at from me group by 1, 2, 3""",
     "stream_distinct": f"with {ME} select match_id, event_type, count(*) as event_count from me group by 1, 2",
-    "clustered_table": f"with {ME} select {STORED} from me where match_id = '{ONE_MATCH}'",
-    "topic_roundtrip": f"""with {ME}
-        select match_id, count(*) as rows, cast(1 as bigint) as partitions from me group by 1""",
+    "stream_two_writers": f"with {ME} select match_id, event_type, count(*) as event_count from me group by 1, 2",
+    "stream_audit_counters": f"""with {CHECKED}
+        select case when kind in (0, 3, 5, 6, 7, 9) then 'parse_error' else 'success' end as outcome,
+          cast(1 as bigint) as batches, count(*) as rows from checked group by 1""",
+    "clustered_table": f"with {ME} select {STORED} from me",
+    "topic_roundtrip": f"with {ME} select {STORED} from me",
+    "raw_text_errors": f"""with {CHECKED}
+        select error_field, error_message, count(*) as documents from checked group by 1, 2""",
+    "roster_scan": f"with {PLAYERS} select team_id, id, name, position from players where team_id = 1",
+    "ledger_scan": f"""with {LEDGER}
+        select id, retry_count, cast(row_number() over (order by created_at, id) as integer) as place from ledger""",
+    "null_rows_skipped": f"with {ME} select event_id from me where seq % 3 <> 0",
+    "unknown_match": f"with {METRICS} {FLAT} where match_id = 'match-of-nobody'",
+    "percentile_epoch": _percentiles(
+        "(select event_type, cast(epoch_us(ts) // 1000 as double) as millis from events)", "millis", LATENCY, "event_type"
+    ),
+    "match_metrics_json_with_latency": f"""with {METRICS}, recent as (
+          select floor(value) as v from events order by ts desc, event_id desc limit 10000),
+        latency as ({_percentiles('recent', 'v', LATENCY)})
+        select match_id, '{{"matchId":"' || match_id || '","totalEvents":' || total_events
+          || ',"eventsByType":' || events_by_type || ',"goals":' || goals || ',"yellowCards":' || yellow_cards
+          || ',"redCards":' || red_cards || ',"firstEventAt":"' || {_rfc3339('first_event_at')}
+          || '","lastEventAt":"' || {_rfc3339('last_event_at')} || '","peakMinute":{{"minute":"'
+          || {_rfc3339('peak_minute')} || '","eventCount":' || peak_count || '}},"responseTimePercentiles":{{"p50":'
+          || p50 || ',"p95":' || p95 || ',"p99":' || p99 || '}}}}' as body from metrics, latency""",
 }

@@ -1,13 +1,13 @@
-"""Ledger transitions, roster scan and line-ups."""
+"""Ledger transitions, roster scan and stratified samples."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import ledger as L
-from touchline.operators.lineup import formations, quota_sample, with_position
-from touchline.schema import FORMATIONS
+from touchline.operators.lineup import quota_sample, with_position
 from touchline.sources.tables import read_ledger, read_roster
 
 T0 = dt.datetime(2024, 1, 1)
@@ -67,37 +67,31 @@ def players(spark, **counts):
     return spark.createDataFrame(rows, "team_id int, id string, position string")
 
 
-def test_lineup_fills_a_known_formation(spark):
-    roster = players(spark, gk=2, mid=8, fwd=5, **{"def": 7})
-    for seed in range(4):
-        quotas = formations(roster, seed)
-        drawn = quota_sample(roster, quotas, seed).collect()
-        assert len({(r["team_id"], r["id"]) for r in drawn}) == len(drawn) == 22
-        for team in (1, 2):
-            shape = {p: sum(r["team_id"] == team and r["position"] == p for r in drawn) for p in ("gk", "def", "mid", "fwd")}
-            assert shape in FORMATIONS
+STRATA = ["team_id", "position"]
 
 
-def test_lineup_is_repeatable_and_seeded(spark):
-    roster = players(spark, gk=9, mid=30, fwd=30, **{"def": 30})
+def drawn(roster, quotas, seed):
+    return sorted(map(tuple, quota_sample(roster, quotas, STRATA, "id", seed).collect()))
 
-    def draw(seed, source):
-        return sorted(map(tuple, quota_sample(source, formations(source, seed), seed).collect()))
 
-    assert draw(1, roster) == draw(1, roster.repartition(7))
-    assert draw(1, roster) != draw(2, roster)
+def test_sample_fills_each_quota(spark):
+    roster = players(spark, gk=2, mid=8, fwd=5, **{"def": 700})
+    quotas = spark.createDataFrame([(1, "gk", 2), (1, "def", 650), (2, "mid", 1), (2, "fwd", 0)], "team_id int, position string, quota int")
+    rows = drawn(roster, quotas, 3)
+    assert Counter((team, position) for team, _, position in rows) == {(1, "gk"): 2, (1, "def"): 650, (2, "mid"): 1}
+    assert len(set(rows)) == len(rows)
 
 
-def test_too_few_players(spark):
-    roster = players(spark, gk=1, mid=5, fwd=0, **{"def": 5})
-    with pytest.raises(ValueError, match="Not enough players for position fwd"):
-        quota_sample(roster, formations(roster, 1), 1)
+def test_sample_is_repeatable_and_seeded(spark):
+    roster = players(spark, mid=60)
+    quotas = spark.createDataFrame([(1, "mid", 9)], "team_id int, position string, quota int")
+    assert drawn(roster, quotas, 1) == drawn(roster.repartition(7), quotas, 1) != drawn(roster, quotas, 2)
 
 
-def test_quota_above_the_known_formations(spark):
-    roster = players(spark, gk=9)
-    quotas = spark.createDataFrame([(1, "gk", 8)], "team_id int, position string, quota int")
-    assert quota_sample(roster, quotas, 3).count() == 8
+def test_too_few_rows(spark):
+    quotas = spark.createDataFrame([(1, "fwd", 1)], "team_id int, position string, quota int")
+    with pytest.raises(ValueError, match="Not enough rows for 1, fwd"):
+        quota_sample(players(spark, gk=1), quotas, STRATA, "id", 1)
 
 
 def test_roster_scan(spark, tmp_path):

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from touchline.operators import match_counts as M
 from touchline.operators.decode import decode_documents, decode_envelopes
 from touchline.operators.encode import publish_rows, storage_rows
-from touchline.operators.lineup import formations, quota_sample
+from touchline.operators.lineup import quota_sample
 from touchline.operators.newest import newest
 from touchline.operators.percentiles import exact_percentiles
 from touchline.operators.validate import accepted, validate
@@ -19,6 +19,7 @@ from touchline.sources.tables import read_match_events, write_clustered
 
 SF = "/root/testdata/sf0.001"
 STREAMED = [n for n in entry.QUERIES if n.startswith("stream_")]
+OWN = list(entry.QUERIES)
 
 
 def plan(df):
@@ -67,23 +68,30 @@ def test_latency_is_attached_without_a_join(spark, table):
     assert "Join" not in text and "CartesianProduct" not in text
 
 
-def test_newest_trims_before_shuffling(spark):
+def test_newest_pushes_its_cut_off_to_the_scan(spark):
     samples = E.latency_samples(spark, SF)
-    text = plan(newest(samples, ["ts", "seq"], 10_000))
-    assert "WindowGroupLimit" in text.split("Exchange")[-1]
-    assert "TakeOrderedAndProject" in text
-    by_key = plan(newest(samples, ["ts", "seq"], 10_000, by=["event_type"]))
-    assert "WindowGroupLimit" in by_key.split("Exchange")[-1] and count("Partial", by_key) == 2
+    text = plan(newest(samples, ["ts", "seq"], 100))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", text)
+    assert "TakeOrderedAndProject" in text and "Window" not in text
+    by_key = plan(newest(samples, ["ts", "seq"], 100, by=["event_type"]))
+    assert "WindowGroupLimit" in by_key.split("Exchange")[-1]
 
 
-def test_exact_percentiles_read_once_and_gather_nothing(spark):
-    text = plan(exact_percentiles(E.latency_samples(spark, SF), "duration_ms", {"p50": 50}, ["event_type"]))
+def test_exact_percentiles_collect_nothing(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("rows reach the driver while the plan is made")
+
+    samples = E.latency_samples(spark, SF)
+    for name in ("collect", "first", "head", "toPandas", "toArrow", "take"):
+        monkeypatch.setattr(type(samples), name, fail)
+    text = plan(exact_percentiles(samples, "duration_ms", {"p50": 50}, ["event_type"]))
     assert "collect_list" not in text and "percentile(" not in text
 
 
-def test_lineup_trims_groups_before_shuffling(spark):
+def test_sample_trims_strata_before_shuffling(spark):
     players = E.roster(spark, SF)
-    assert "WindowGroupLimit" in plan(quota_sample(players, formations(players, 1), 1))
+    quotas = spark.createDataFrame([(1, "gk", 1)], "team_id int, position string, quota int")
+    assert plan(quota_sample(players, quotas, ["team_id", "position"], "id", 1)).count("Window ") == 2
 
 
 def test_documents_are_parsed_once(spark, tmp_path):
@@ -97,7 +105,7 @@ def test_documents_are_parsed_once(spark, tmp_path):
         assert "Exchange" not in text
 
 
-@pytest.mark.parametrize("name", [n for n in entry.QUERIES if n not in STREAMED])
+@pytest.mark.parametrize("name", [n for n in OWN if n not in STREAMED])
 def test_no_python_and_no_all_pairs(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "InArrow"):

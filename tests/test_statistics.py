@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from touchline.operators.newest import newest
-from touchline.operators.percentiles import exact_percentiles, latency_percentiles, value_bucket
+from touchline.operators.percentiles import bucket_path, exact_percentiles, latency_percentiles, value_bucket
 from touchline.operators.request_stats import error_rate, histogram, labelled_counts, path_template
 
 
@@ -65,7 +65,7 @@ def test_only_the_newest_count(spark):
 def test_newest_per_key(spark):
     rng = random.Random(3)
     keys = ["hot" if rng.random() < 0.4 else f"k{rng.randrange(5)}" for _ in range(2000)]
-    kept = newest(samples(spark, range(2000), keys), ["ts", "seq"], 25, by=["key"], fan_in=3)
+    kept = newest(samples(spark, range(2000), keys), ["ts", "seq"], 25, by=["key"])
     found = {}
     for row in kept.collect():
         found.setdefault(row["key"], []).append(row["seq"])
@@ -81,8 +81,7 @@ def test_percentiles_by_key_match_the_definition(spark):
     wanted = {"p0": 0, "p50": 50, "p95": 95, "p99": 99, "p100": 100}
     bounded = latency_percentiles(df, by=["key"], n=10_000, whole_ms=False, percentiles=wanted)
     exact = exact_percentiles(df, "duration_ms", wanted, by=["key"])
-    shuffled = exact_percentiles(df, "duration_ms", wanted, by=["key"], broadcast_buckets=0)
-    for result in (bounded, exact, shuffled):
+    for result in (bounded, exact):
         for row in result.collect():
             mine = [v for v, k in zip(values, keys) if k == row["key"]]
             for name, p in wanted.items():
@@ -91,9 +90,8 @@ def test_percentiles_by_key_match_the_definition(spark):
 
 def test_percentiles_keep_the_null_group_and_no_empty_one(spark):
     df = samples(spark, [1, 2, 3, 9], [None, None, None, "k"])
-    for limit in (0, 100):
-        found = exact_percentiles(df, "duration_ms", {"p": 50}, by=["key"], broadcast_buckets=limit)
-        assert {tuple(r) for r in found.collect()} == {(None, 2.0), ("k", 9.0)}
+    found = exact_percentiles(df, "duration_ms", {"p": 50}, by=["key"])
+    assert {tuple(r) for r in found.collect()} == {(None, 2.0), ("k", 9.0)}
     assert exact_percentiles(df.filter("seq > 9"), "duration_ms", {"p": 50}).count() == 0
 
 
@@ -115,6 +113,38 @@ def test_buckets_keep_the_order_of_values(spark):
     assert buckets == sorted(buckets)
 
 
+def test_bucket_paths_tell_all_values_apart_in_order(spark):
+    rng = random.Random(4)
+    values = {1.7e12 + i for i in range(300)} | {math.nextafter(1.7e12, 2e12), -1.7e12, 0.0, 5e-324, 1e-310, 1e308, float("inf"), float("-inf")}
+    values |= {rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 12) for _ in range(300)}
+    values |= {math.nextafter(v, 0) for v in values if math.isfinite(v) and abs(v) > 1e-300}
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    paths = [tuple(r)[1:] for r in df.select("v", *bucket_path(F.col("v"))).orderBy("v").collect()]
+    assert paths == sorted(paths)
+    ordinary = [p for p, v in zip(paths, sorted(values), strict=True) if v in (float("inf"), float("-inf")) or abs(v) > 1e-290 or v == 0]
+    assert len(set(ordinary)) == len(ordinary)
+
+
+def test_percentiles_of_close_values(spark):
+    values = [1.7e12 + i for i in range(5000)]
+    row = exact_percentiles(samples(spark, values), "duration_ms", {"p50": 50, "p99": 99}).first()
+    assert (row["p50"], row["p99"]) == (expected(values, 50), expected(values, 99))
+
+
+def test_newest_of_ties_and_short_tables(spark):
+    df = spark.createDataFrame([(i, 7, float(i)) for i in range(50)], "seq bigint, ts bigint, v double")
+    assert {r["seq"] for r in newest(df, ["ts", "seq"], 5).collect()} == {45, 46, 47, 48, 49}
+    assert newest(df, ["ts", "seq"], 500).count() == 50 and newest(df.limit(0), ["ts"], 3).isEmpty()
+    spread = spark.range(20_000).selectExpr("id as seq", "timestamp_seconds(id * id % 100003) as ts")
+    wanted = {r["seq"] for r in spread.orderBy(F.desc("ts"), F.desc("seq")).limit(777).collect()}
+    assert {r["seq"] for r in newest(spread, ["ts", "seq"], 777).collect()} == wanted
+
+
+def test_nan_is_no_measurement(spark):
+    rows = histogram(spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double"), "v", (2.0,)).collect()
+    assert [(r["bucket_count"], r["value_count"], r["value_sum"]) for r in rows] == [(1, 1, 1.0)] * 2
+
+
 def test_path_template(spark):
     df = spark.createDataFrame([("/api/matches/m-1/metrics",), ("/api/events",), ("/api/matches/m-2",)], "path string")
     found = [r[0] for r in df.select(path_template(F.col("path"))).collect()]

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from touchline.operators.decode import decode_envelopes
@@ -14,9 +15,9 @@ from touchline.sources import events_table as E
 from touchline.sources.tables import read_match_events, read_raw_event_stream, write_clustered
 from touchline.sources.topics import append_to_topic, kafka_options, read_topic, read_topic_stream
 from touchline.streaming.consumer import Outputs, consume_batch, start_consumer, stop_gracefully
-from touchline.streaming.ingest import start_ingest
-from touchline.streaming.live import distinct_events, latest_cells, live_minute_cells, start_live_cells
-from touchline.streaming.sinks import match_events_sink, parquet_batches
+from touchline.streaming.ingest import ingest_batch, start_ingest
+from touchline.streaming.live import latest_cells, live_minute_cells, start_live_cells
+from touchline.streaming.sinks import distinct_match_events_sink, drop, match_events_sink, parquet_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +36,7 @@ def audit_of(spark, path):
 
 def test_kafka_options_follow_the_batch_rule():
     options = kafka_options("host:9092", "events", max_rows_per_batch=50_000)
+    assert int(kafka_options("host:9092", "events")["maxOffsetsPerTrigger"]) > 0
     assert options["startingOffsets"] == "earliest"
     assert (options["minOffsetsPerTrigger"], options["maxTriggerDelay"]) == ("1000", "5 seconds")
     assert options["maxOffsetsPerTrigger"] == "50000"
@@ -65,13 +67,29 @@ def test_raw_text_to_table(spark, tmp_path):
 def test_repeated_batch_is_stored_once(spark, tmp_path):
     batch = publish_rows(E.valid_events(spark, SF))
     for _ in range(2):
-        consume_batch(batch, 7, Outputs(match_events_sink(f"{tmp_path}/table")))
+        consume_batch(batch, 7, Outputs(match_events_sink(f"{tmp_path}/table", writer="one")))
     assert read_match_events(spark, f"{tmp_path}/table").count() == batch.count()
 
 
+def test_writers_with_their_own_checkpoints_add_up(spark, tmp_path):
+    rows = publish_rows(E.valid_events(spark, SF))
+    append_to_topic(rows, f"{tmp_path}/topic")
+    for checkpoint in ("c1", "c2", "c1"):
+        start_consumer(
+            read_topic_stream(spark, f"{tmp_path}/topic"), Outputs(match_events_sink(f"{tmp_path}/table")),
+            f"{tmp_path}/{checkpoint}", available_now=True,
+        ).awaitTermination()
+    assert read_match_events(spark, f"{tmp_path}/table").count() == 2 * rows.count()
+
+
+def test_a_sink_outside_of_a_stream_needs_a_writer(spark, tmp_path):
+    with pytest.raises(ValueError, match="writer"):
+        parquet_batches(f"{tmp_path}/x")(spark.range(1), 0)
+
+
 def test_a_batch_writes_one_file_per_date(spark, tmp_path):
     batch = publish_rows(E.valid_events(spark, SF)).repartition(6)
-    consume_batch(batch, 0, Outputs(match_events_sink(f"{tmp_path}/table")))
+    consume_batch(batch, 0, Outputs(match_events_sink(f"{tmp_path}/table", writer="one")))
     dates = read_match_events(spark, f"{tmp_path}/table").select("event_date").distinct().count()
     assert len(list((tmp_path / "table").rglob("*.parquet"))) == dates > 20
 
@@ -96,9 +114,9 @@ def failing(spark, tmp_path):
     def run(retry=True, dead=True, retry_sink=None, with_audit=True):
         outputs = Outputs(
             down,
-            retry=(retry_sink or parquet_batches(f"{tmp_path}/retry")) if retry else None,
-            dead=parquet_batches(f"{tmp_path}/dead") if dead else None,
-            audit=parquet_batches(f"{tmp_path}/audit") if with_audit else None,
+            retry=(retry_sink or parquet_batches(f"{tmp_path}/retry", writer="t")) if retry else None,
+            dead=drop if dead is drop else parquet_batches(f"{tmp_path}/dead", writer="t") if dead else None,
+            audit=parquet_batches(f"{tmp_path}/audit", writer="t") if with_audit else None,
         )
         consume_batch(topic, 0, outputs)
         counts = {r["outcome"]: r["rows"] for r in spark.read.parquet(f"{tmp_path}/audit").collect()} if with_audit else None
@@ -125,8 +143,15 @@ def test_failed_batch_without_retry(failing):
     assert failing(retry=False) == ({"dead": 1000}, {"dead": 1000})
 
 
-def test_failed_batch_without_outputs(failing):
-    assert failing(retry=False, dead=False) == ({"lost": 1000}, {})
+def test_dropping_failed_rows_is_a_choice_and_is_counted(failing):
+    assert failing(retry=False, dead=drop) == ({"lost": 1000}, {})
+    with pytest.raises(ConnectionError):
+        failing(retry=False, dead=False)
+
+
+def test_rows_out_of_tries_need_a_dead_letter_output(failing):
+    with pytest.raises(ValueError, match="dead-letter"):
+        failing(dead=False)
 
 
 def test_failed_retry_write_goes_to_dead_once(failing):
@@ -143,14 +168,35 @@ def test_broken_messages_are_dropped_counted_and_quarantined(spark, tmp_path):
     values = [("not json",), (json.dumps({"eventId": "x"}),)]
     topic = spark.createDataFrame(values, "v string").select(F.col("v").cast("binary").alias("value"))
     outputs = Outputs(
-        match_events_sink(f"{tmp_path}/table"),
-        audit=parquet_batches(f"{tmp_path}/audit"),
-        quarantine=parquet_batches(f"{tmp_path}/bad"),
+        match_events_sink(f"{tmp_path}/table", writer="t"),
+        audit=parquet_batches(f"{tmp_path}/audit", writer="t"),
+        quarantine=parquet_batches(f"{tmp_path}/bad", writer="t"),
     )
-    consume_batch(topic, 0, outputs)
+    assert consume_batch(topic, 0, outputs) == {"parse_error": 2}
     assert audit_of(spark, f"{tmp_path}/audit") == {"parse_error": 2}
     assert {bytes(r["value"]).decode() for r in spark.read.parquet(f"{tmp_path}/bad").collect()} == {v for (v,) in values}
-    assert not (tmp_path / "table").exists()
+    assert read_match_events(spark, f"{tmp_path}/table").isEmpty()
+    with pytest.raises(ValueError, match="quarantine"):
+        consume_batch(topic, 0, Outputs(match_events_sink(f"{tmp_path}/other", writer="t")))
+    dropping = Outputs(match_events_sink(f"{tmp_path}/other", writer="t"), quarantine=drop)
+    assert consume_batch(topic, 0, dropping) == {"parse_error": 2}
+
+
+def test_a_fault_of_the_query_is_not_routed(spark, tmp_path):
+    def wrong(rows, batch_id):
+        rows.select("no_such_column")
+
+    routed = []
+    outputs = Outputs(wrong, dead=lambda rows, batch_id: routed.append(batch_id))
+    with pytest.raises(AnalysisException):
+        consume_batch(E.topic_rows(spark, SF), 0, outputs)
+    assert not routed
+
+
+def test_rejected_documents_are_always_counted(spark, tmp_path):
+    raw = E.raw_documents(spark, SF)
+    counts = ingest_batch(raw, 0, parquet_batches(f"{tmp_path}/topic", writer="t"), drop)
+    assert counts == {"accepted": spark.read.parquet(f"{tmp_path}/topic").count(), "rejected": raw.filter("doc_id % 16 in (0,1,2,3,4,5,6,7,10)").count()}
 
 
 def test_graceful_stop_processes_what_arrived(spark, tmp_path):
@@ -173,32 +219,51 @@ def test_live_counts_equal_batch_counts_in_any_order(spark, tmp_path):
     assert as_set(latest_cells(versions)) == as_set(minute_cells(valid))
 
 
-def test_watermark_bounds_live_counts(spark, tmp_path):
-    rows = publish_rows(E.valid_events(spark, SF))
-    rows.repartitionByRange(4, "timestamp").sortWithinPartitions("timestamp").write.parquet(f"{tmp_path}/topic")
-    events = decode_envelopes(read_topic_stream(spark, f"{tmp_path}/topic")).filter(~F.col("parse_error"))
-    cells = live_minute_cells(events, "10 minutes")
-    start_live_cells(cells, f"{tmp_path}/cells", f"{tmp_path}/c", True).awaitTermination()
-    # All in one batch, so nothing is late and the answer is the same.
-    assert as_set(latest_cells(spark.read.parquet(f"{tmp_path}/cells"))) == as_set(minute_cells(E.valid_events(spark, SF)))
+def week(n):
+    return F.least(F.floor(F.dayofmonth("timestamp") / 8), F.lit(3)) == n
 
 
-def test_opt_in_deduplication(spark, tmp_path):
+def test_a_watermark_drops_what_comes_too_late(spark, tmp_path):
     rows = publish_rows(E.valid_events(spark, SF))
-    append_to_topic(rows.unionByName(rows), f"{tmp_path}/topic")
-    events = decode_envelopes(read_topic_stream(spark, f"{tmp_path}/topic"))
-    kept = distinct_events(events.select("event_id", "timestamp"), "40 days")
-    query = kept.writeStream.option("checkpointLocation", f"{tmp_path}/c").foreachBatch(parquet_batches(f"{tmp_path}/out"))
-    query.trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 1000
-
-
-def test_topic_keys_stay_in_one_partition(spark, tmp_path):
-    append_to_topic(publish_rows(E.valid_events(spark, SF)), f"{tmp_path}/topic", partitions=3)
-    rows = read_topic(spark, f"{tmp_path}/topic")
-    assert rows.schema.fieldNames() == TOPIC.fieldNames()
-    spread = rows.groupBy("key").agg(F.count_distinct("partition").alias("n"))
-    assert spread.filter("n > 1").count() == 0 and rows.select("partition").distinct().count() == 3
+    # The last week comes first, so that the weeks before it are late for a delay of ten days.
+    for batch, n in enumerate((3, 2, 1, 0)):
+        append_to_topic(rows.filter(week(n)).coalesce(1), f"{tmp_path}/topic/{batch}")
+        events = decode_envelopes(read_topic_stream(spark, f"{tmp_path}/topic", 1)).filter(~F.col("parse_error"))
+        cells = live_minute_cells(events, "10 days")
+        start_live_cells(cells, f"{tmp_path}/cells", f"{tmp_path}/c", True).awaitTermination()
+    found = as_set(latest_cells(spark.read.parquet(f"{tmp_path}/cells")).select("match_id", "minute", "event_type", "event_count", "first_event_at", "last_event_at"))
+    last = E.valid_events(spark, SF)
+    newest = last.agg(F.max("timestamp")).first()[0]
+    in_time = last.filter(week(3) | (F.col("timestamp") > F.lit(newest) - F.expr("interval 10 days")))
+    assert found == as_set(minute_cells(in_time)) and len(found) < minute_cells(last).count()
+
+
+def test_repeats_are_stored_once_however_late(spark, tmp_path):
+    rows = publish_rows(E.valid_events(spark, SF))
+    # Newest first; every batch brings one week and, again, half of everything.
+    for batch, n in enumerate((3, 2, 1, 0)):
+        again = rows.filter(F.xxhash64("value") % 2 == 0)
+        append_to_topic(rows.filter(week(n)).unionByName(again).coalesce(1), f"{tmp_path}/topic/{batch}")
+        outputs = Outputs(distinct_match_events_sink(f"{tmp_path}/table"))
+        start_consumer(
+            read_topic_stream(spark, f"{tmp_path}/topic", 1), outputs, f"{tmp_path}/c", available_now=True
+        ).awaitTermination()
+    stored = read_match_events(spark, f"{tmp_path}/table")
+    assert stored.count() == stored.select("event_id").distinct().count() == 1000
+
+
+def test_a_repeated_batch_keeps_its_distinct_rows(spark, tmp_path):
+    batch = publish_rows(E.valid_events(spark, SF))
+    for batch_id in (4, 4, 5):
+        consume_batch(batch, batch_id, Outputs(distinct_match_events_sink(f"{tmp_path}/table", writer="t")))
+    assert read_match_events(spark, f"{tmp_path}/table").count() == 1000
+
+
+def test_topic_rows_come_back_as_they_went(spark, tmp_path):
+    rows = E.topic_rows(spark, SF)
+    append_to_topic(rows, f"{tmp_path}/topic")
+    back = read_topic(spark, f"{tmp_path}/topic")
+    assert back.schema.fieldNames() == TOPIC.fieldNames() and as_set(back) == as_set(rows.select(*TOPIC.fieldNames()))
 
 
 def test_clustered_rewrite_keeps_all_rows(spark, tmp_path):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -15,3 +16,16 @@ def computed_once(flag: Column) -> Column:
     it is, so the document is parsed once per row.
     """
     return F.when(F.spark_partition_id() >= 0, flag)
+
+
+def observed(seen: Observation, rows: DataFrame, **measures: Column) -> dict[str, int]:
+    """What an action has observed of ``rows``, counted once more where it has told nothing.
+
+    When nothing is left of the rows behind the observation, the plan may be cut short
+    while it runs, and the observation with it.
+    """
+    try:
+        found = seen.get
+    except (Py4JError, AssertionError):
+        found = {}
+    return found or rows.agg(*[m.alias(name) for name, m in measures.items()]).first().asDict()

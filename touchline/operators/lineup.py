@@ -1,45 +1,33 @@
-"""Line-ups: a seeded sample of players that fills each position's quota."""
+"""Rosters, and a seeded sample that fills a quota for each stratum of any table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from touchline.schema import FORMATIONS
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def with_position(roster: DataFrame, position: str) -> DataFrame:
     return roster.filter(F.col("position") == position)
 
 
-def _digest(seed: int, *parts: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-
-
-def formations(roster: DataFrame, seed: int) -> DataFrame:
-    """(team_id, position, quota): one of the known formations per team, chosen by the seed."""
-    choices = F.array(*[F.create_map(*[F.lit(v) for kv in f.items() for v in kv]) for f in FORMATIONS])
-    pick = F.conv(F.substring(_digest(seed, F.col("team_id")), 1, 8), 16, 10).cast("long") % len(FORMATIONS)
-    return (
-        roster.select("team_id")
-        .distinct()
-        .select("team_id", F.explode(F.get(choices, pick.cast("int"))).alias("position", "quota"))
-    )
-
-
-def quota_sample(roster: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """Players drawn without replacement to fill ``quotas`` (team_id, position, quota).
+def quota_sample(rows: DataFrame, quotas: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
+    """Rows drawn without replacement to fill ``quotas`` (the strata and ``quota``).
 
-    Raises ValueError when a position has too few players.
+    The draw is by a seeded hash of the strata and ``key``, so it does not depend on how
+    rows are laid out.  Raises ValueError when a stratum has too few rows.
     """
-    keys = ["team_id", "position"]
-    have = roster.groupBy(*keys).agg(F.count("*").alias("available"))
-    short = quotas.join(have, keys, "left").filter(F.coalesce("available", F.lit(0)) < F.col("quota")).head(1)
+    strata = list(strata)
+    have = rows.groupBy(*strata).agg(F.count("*").alias("available"))
+    short = quotas.join(have, strata, "left").filter(F.coalesce("available", F.lit(0)) < F.col("quota")).head(1)
     if short:
-        raise ValueError(f"Not enough players for position {short[0]['position']}")
-    # The constant bound lets Spark trim each group before the shuffle; the join then
-    # applies the quota of the player's own team.
-    largest = quotas.agg(F.max("quota")).first()[0] or 0
-    drawn_first = Window.partitionBy(*keys).orderBy(_digest(seed, F.col("team_id"), F.col("id")), "id")
-    drawn = roster.withColumn("_draw", F.row_number().over(drawn_first)).filter(F.col("_draw") <= largest)
-    return drawn.join(quotas, keys).filter(F.col("_draw") <= F.col("quota")).drop("_draw", "quota")
+        raise ValueError(f"Not enough rows for {', '.join(str(short[0][s]) for s in strata)}")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*strata, key]]))
+    # Input partitions trim their strata first, so a large stratum reaches its task as its leading draws only.
+    slots = Window.partitionBy(*strata, "_slot").orderBy("_digest", key)
+    wanted = rows.join(quotas, strata).withColumns({"_digest": digest, "_slot": F.spark_partition_id()})
+    trimmed = wanted.withColumn("_draw", F.row_number().over(slots)).filter(F.col("_draw") <= F.col("quota"))
+    drawn = Window.partitionBy(*strata).orderBy("_digest", key)
+    kept = trimmed.withColumn("_draw", F.row_number().over(drawn)).filter(F.col("_draw") <= F.col("quota"))
+    return kept.select(*rows.columns)

@@ -41,8 +41,11 @@ def events_by_type(events: DataFrame, match_id: str | None = None) -> DataFrame:
 
 
 def events_by_type_map(events: DataFrame, match_id: str | None = None) -> DataFrame:
-    """The same as a map, entries in type order.  Counted first, so only totals are gathered."""
-    entry = F.struct("event_type", "event_count")
+    """The same as a map, entries in type order.  Counted first, so only totals are gathered.
+
+    Events without a type have no entry, as a map cannot have a NULL key.
+    """
+    entry = F.when(F.col("event_type").isNotNull(), F.struct("event_type", "event_count"))
     return (
         events_by_type(for_match(events, match_id))
         .groupBy("match_id")

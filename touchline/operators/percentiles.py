@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numbers import interpolate, rank_position
 from touchline.operators.newest import newest
 from touchline.schema import LATENCY_WINDOW
+from touchline.session import new_run_dir
 
 LATENCY_PERCENTILES = {"p50": 50, "p95": 95, "p99": 99}
 
@@ -64,52 +65,66 @@ def value_bucket(value: Column) -> Column:
     )
 
 
-# Buckets that may be sent to every executor; above it the join is left to a shuffle.
-BROADCAST_BUCKETS = 50_000
+# Bits of the mantissa that each level after the first tells apart; with the ten of the
+# first level these are all of a double's, so at last a bucket is a single value.
+LEVEL_BITS = 14
+LEVELS = 3
+
+
+def bucket_path(value: Column) -> list[Column]:
+    """Buckets of a double from coarse to exact; in order of the path, values are in order."""
+    size = F.abs(value)
+    exponent = F.greatest(F.floor(F.log2(size)), F.lit(-1000))
+    scaled = size / F.pow(F.lit(2.0), exponent - 10)
+    ordinary = (size > 0) & (size < float("inf"))
+    path = [value_bucket(value)]
+    for _ in range(LEVELS):
+        # What is left of a division by a power of two is exact.
+        scaled = (scaled - F.floor(scaled)) * float(1 << LEVEL_BITS)
+        inner = F.floor(scaled)
+        path.append(F.when(ordinary, F.when(value < 0, -inner).otherwise(inner)).otherwise(0))
+    return path
 
 
 def exact_percentiles(
-    rows: DataFrame,
-    value: str,
-    percentiles: Mapping[str, float],
-    by: Sequence[str] = (),
-    broadcast_buckets: int = BROADCAST_BUCKETS,
+    rows: DataFrame, value: str, percentiles: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact percentiles of groups of any size.
 
-    No group is gathered or sorted as a whole.  A first pass counts rows in coarse value
-    buckets (a few thousand per group, combined on the map side) and finds the buckets that
-    hold the wanted ranks, two per percentile and group.  A second pass puts only the
-    values of those buckets in order.  The first pass runs when this is called.
+    No values are gathered or put in order.  Each pass counts rows by bucket, combined on
+    the map side, and opens the buckets that hold a wanted rank; the next pass counts
+    finer buckets within these.  After the last a bucket is one value.  A task orders at
+    most the buckets of one opened bucket, some thousands, whatever the values are.  The
+    opened buckets, two per percentile and group, are stored between the passes, which run
+    when this is called; how they meet the rows is left to their size.
     """
     keys = list(by)
-    source = (
-        rows.filter(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_value"))
-        .withColumn("_bucket", value_bucket(F.col("_value")))
-    )
+    source = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    levels = bucket_path(F.col("_value"))
+    path = [f"_b{i}" for i in range(len(levels))]
     positions = {name: rank_position(p / 100, F.col("_total")) for name, p in percentiles.items()}
-    hit = _buckets_to_open(source, keys, list(positions.values()))
-    few = hit.limit(broadcast_buckets + 1).collect()
-    grouping = [*keys, "_bucket", "_value"]
-    if len(few) <= broadcast_buckets:
-        hit = F.broadcast(rows.sparkSession.createDataFrame(few, hit.schema))
-        counts = _matching(source, hit, keys).groupBy(*grouping, "_start", "_total").agg(F.count("*").alias("_n"))
-    else:
-        counts = _matching(source.groupBy(*grouping).agg(F.count("*").alias("_n")), hit, keys)
-
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = counts.withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
-    ordered = ordered.withColumn("_from", F.col("_to") - F.col("_n"))
+    opened = None
+    for depth, column in enumerate(path):
+        upper, bounds = path[:depth], ["_start", "_total"] if depth else []
+        counted = source.withColumns(dict(zip(path[: depth + 1], levels, strict=False)))
+        if depth:
+            counted = _inside(counted, opened, [*keys, *upper])
+        sizes = counted.groupBy(*keys, *path[: depth + 1], *bounds).agg(
+            F.count("*").alias("_size"), F.max("_value").alias("_value")
+        )
+        opened = _opened(sizes, keys, upper, column, list(positions.values()))
+        path_now = f"{new_run_dir(rows.sparkSession, 'percentiles')}/{column}"
+        opened.write.parquet(path_now)
+        opened = rows.sparkSession.read.schema(opened.schema).parquet(path_now)
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_value")))
+        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_size")), F.col("_value")))
 
     picked = {}
     for name, position in positions.items():
         picked[f"_{name}_lo"] = value_at(F.floor(position))
         picked[f"_{name}_hi"] = value_at(F.ceil(position))
-    folded = ordered.groupBy(*keys).agg(
+    folded = opened.groupBy(*keys).agg(
         F.first("_total").alias("_total"), *[column.alias(name) for name, column in picked.items()]
     )
     return folded.filter(F.col("_total").isNotNull()).select(
@@ -121,27 +136,27 @@ def exact_percentiles(
     )
 
 
-def _buckets_to_open(source: DataFrame, keys: Sequence[str], positions: Sequence[Column]) -> DataFrame:
+def _opened(
+    sizes: DataFrame, keys: Sequence[str], upper: Sequence[str], column: str, positions: Sequence[Column]
+) -> DataFrame:
     """Buckets holding a wanted rank, with the rank they start at and the group's size."""
-    whole = Window.partitionBy(*keys)
-    upwards = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        source.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_size"))
-        .withColumns({"_end": F.sum("_size").over(upwards), "_total": F.sum("_size").over(whole)})
-        .withColumn("_start", F.col("_end") - F.col("_size"))
-    )
+    whole = Window.partitionBy(*keys, *upper)
+    upwards = whole.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("_size").over(upwards) - F.col("_size")
+    if not upper:
+        sizes = sizes.withColumns({"_start": F.lit(0).cast("long"), "_total": F.sum("_size").over(whole)})
+    buckets = sizes.withColumn("_start", F.col("_start") + before)
     wanted = F.lit(False)
     for position in positions:
         for rank in (F.floor(position), F.ceil(position)):
-            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_end")))
-    return buckets.filter(wanted).select(*keys, "_bucket", "_start", "_total")
+            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_size")))
+    return buckets.filter(wanted)
 
 
-def _matching(rows: DataFrame, hit: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows in the buckets to open; a NULL key is a group like any other."""
-    opened = hit.select(*[F.col(k).alias(f"_hit_{k}") for k in [*keys, "_bucket"]], "_start", "_total")
-    same = F.col("_bucket") == F.col("_hit__bucket")
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_hit_{key}"))
-    return rows.join(opened, same).drop(*[f"_hit_{k}" for k in [*keys, "_bucket"]])
+def _inside(rows: DataFrame, opened: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows in opened buckets; a NULL key is a group like any other."""
+    held = opened.select(*[F.col(k).alias(f"_in_{k}") for k in on], "_start", "_total")
+    same = F.lit(True)
+    for key in on:
+        same = same & F.col(key).eqNullSafe(F.col(f"_in_{key}"))
+    return rows.join(held, same).drop(*[f"_in_{k}" for k in on])

@@ -30,9 +30,12 @@ def histogram(rows: DataFrame, value: str, bounds: Sequence[float], by: Sequence
     """Cumulative histogram: one row per group and upper bound ``le``, ``+Inf`` included.
 
     Every row also carries the group's ``value_sum`` and ``value_count``.  All bounds are
-    counted in one aggregation, which combines on the map side.
+    counted in one aggregation, which combines on the map side.  NaN is no measurement and
+    is left out like NULL.
     """
     x = F.col(value)
+    if rows.schema[value].dataType.typeName() in ("double", "float"):
+        x = F.nanvl(x, F.lit(None).cast("double"))
     totals = rows.groupBy(*by).agg(
         F.sum(x).alias("value_sum"),
         F.count(x).alias("value_count"),

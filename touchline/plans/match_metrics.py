@@ -64,7 +64,8 @@ def _metrics(rows: DataFrame, count: Column, first: Column, last: Column) -> Dat
         return F.coalesce(F.sum(F.when(~by_minute & (F.col("event_type") == name), n)), F.lit(0))
 
     minute_key = F.when(by_minute, earliest_peak_key(F.col("minute"), n))
-    type_entry = F.when(~by_minute, F.struct("event_type", "event_count"))
+    # Events without a type count in the total but have no entry: a map has no NULL key.
+    type_entry = F.when(~by_minute & F.col("event_type").isNotNull(), F.struct("event_type", "event_count"))
     return grouped.groupBy("match_id").agg(
         F.sum(F.when(by_minute, n)).alias("total_events"),
         F.map_from_entries(F.sort_array(F.collect_list(type_entry))).alias("events_by_type"),

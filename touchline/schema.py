@@ -49,16 +49,6 @@ PRODUCE_SECONDS_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 BATCH_ROWS_BUCKETS = (1, 10, 50, 100, 500, 1000, 5000, 10000)
 MESSAGE_BYTES_BUCKETS = (100, 500, 1000, 5000, 10000, 50000, 100000)
 
-# Outfield quotas per formation; every line-up has one goalkeeper.
-FORMATIONS = (
-    {"gk": 1, "def": 4, "mid": 4, "fwd": 2},
-    {"gk": 1, "def": 4, "mid": 3, "fwd": 3},
-    {"gk": 1, "def": 3, "mid": 5, "fwd": 2},
-    {"gk": 1, "def": 5, "mid": 3, "fwd": 2},
-    {"gk": 1, "def": 4, "mid": 5, "fwd": 1},
-    {"gk": 1, "def": 3, "mid": 4, "fwd": 3},
-)
-
 MATCH_EVENTS = T.StructType(
     [
         T.StructField("event_id", T.StringType()),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -20,12 +19,6 @@ TUNING_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Newest-N operators keep up to 10,000 rows per group; above the default of 1,000
-    # Spark would give up trimming the groups before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
-    # Per-match maps hold about eleven short entries, so many groups fit in memory
-    # before the hash aggregation has to fall back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
 }
 
 
@@ -47,11 +40,10 @@ def build_session(app_name: str = "touchline", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one where unset."""
+    """The folder that ``spark.checkpoint.dir`` names, which every executor can reach."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
     return configured.rstrip("/")
 
 

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from touchline.schema import BATCH_INTERVAL, BATCH_ROWS, TOPIC
 
 
-def kafka_options(servers: str, topic: str, max_rows_per_batch: int | None = None) -> dict[str, str]:
-    """Reader options: from the first offset, a batch at 1,000 rows or 5 seconds, 10 MB fetches."""
-    options = {
+#: Rows of one batch at most, so that a backlog is not taken as one.
+MAX_BATCH_ROWS = 1_000_000
+
+
+def kafka_options(servers: str, topic: str, max_rows_per_batch: int = MAX_BATCH_ROWS) -> dict[str, str]:
+    """Reader options: from the first offset, a batch at 1,000 rows or 5 seconds, 10 MB fetches.
+
+    A backlog is worked off in batches of ``max_rows_per_batch``.
+    """
+    return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest",
@@ -18,10 +25,8 @@ def kafka_options(servers: str, topic: str, max_rows_per_batch: int | None = Non
         "kafka.fetch.max.bytes": "10000000",
         "minOffsetsPerTrigger": str(BATCH_ROWS),
         "maxTriggerDelay": BATCH_INTERVAL,
+        "maxOffsetsPerTrigger": str(max_rows_per_batch),
     }
-    if max_rows_per_batch:
-        options["maxOffsetsPerTrigger"] = str(max_rows_per_batch)
-    return options
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, **more: str) -> DataFrame:
@@ -45,15 +50,11 @@ def read_topic(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOPIC).option("recursiveFileLookup", "true").parquet(path)
 
 
-def append_to_topic(rows: DataFrame, path: str, partitions: int = 3) -> None:
-    """Append topic rows to a Parquet folder; the partition follows from the key as on the wire.
-
-    Offsets are a broker's to give, so they stay NULL here.
-    """
-    partition = F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int")
+def append_to_topic(rows: DataFrame, path: str) -> None:
+    """Append topic rows to a Parquet folder.  Partition and offset are a broker's to give, so they stay as they are or NULL."""
     missing = [c for c in TOPIC.fieldNames() if c not in rows.columns]
     full = rows.withColumns({c: F.lit(None).cast(TOPIC[c].dataType) for c in missing})
-    full.withColumn("partition", partition).select(*TOPIC.fieldNames()).write.mode("append").parquet(path)
+    full.select(*TOPIC.fieldNames()).write.mode("append").parquet(path)
 
 
 def write_to_kafka(rows: DataFrame, servers: str) -> None:

@@ -6,22 +6,29 @@ import logging
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from touchline.functions.plans import observed
 from touchline.operators.decode import decode_envelopes
 from touchline.operators.encode import dead_letter_rows, retry_rows, storage_rows
 from touchline.operators.routing import DEAD, LOST, RETRY, route_failed
 from touchline.schema import BATCH_INTERVAL, MAX_RETRIES
-from touchline.streaming.sinks import BatchSink
+from touchline.streaming.sinks import BatchSink, drop
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Outputs:
-    """Where a consumer writes.  All but the table are optional."""
+    """Where a consumer writes.  All but the table are optional.
+
+    Rows that cannot be read need ``quarantine``, and rows of a failed batch that may not
+    be tried again need ``dead``; without it the batch fails and comes again.  Either may
+    be :func:`touchline.streaming.sinks.drop`, the choice to lose such rows, counted.
+    """
 
     table: BatchSink
     retry: BatchSink | None = None
@@ -30,65 +37,78 @@ class Outputs:
     quarantine: BatchSink | None = None
 
 
-def consume_batch(topic: DataFrame, batch_id: int, outputs: Outputs, max_retries: int = MAX_RETRIES) -> None:
-    """Decode one micro-batch and store it, or route its rows when the store fails."""
-    started = time.monotonic()
-    decoded = decode_envelopes(topic)
-    if not (outputs.audit or outputs.quarantine):
-        _store_or_route(decoded.filter(~F.col("parse_error")), batch_id, outputs, max_retries)
-        return
-    # Counting, quarantine and store all read the decoded rows, so they are kept for the
-    # length of the batch; blocks lost with an executor are recomputed from the source.
-    decoded = decoded.persist()
-    try:
-        bad, good = F.count_if("parse_error"), F.count_if(~F.col("parse_error"))
-        tally = decoded.agg(bad.alias("bad"), good.alias("good")).first()
-        counts = {"parse_error": tally["bad"]}
-        if tally["bad"] and outputs.quarantine:
-            # The event's timestamp has taken the place of the record time; a broken row has none.
-            kept = [c for c in topic.columns if c != "timestamp"]
-            outputs.quarantine(decoded.filter("parse_error").select(*kept), batch_id)
-        if tally["good"]:
-            routed = _store_or_route(decoded.filter(~F.col("parse_error")), batch_id, outputs, max_retries)
-            counts.update({"success": tally["good"]} if routed is None else routed)
-        if outputs.audit:
-            outputs.audit(_audit_rows(topic, counts, time.monotonic() - started), batch_id)
-    finally:
-        decoded.unpersist()
-
+def consume_batch(
+    topic: DataFrame, batch_id: int, outputs: Outputs, max_retries: int = MAX_RETRIES
+) -> dict[str, int]:
+    """Decode one micro-batch and store it, or route its rows when the store fails.
 
-def _store_or_route(events: DataFrame, batch_id: int, outputs: Outputs, max_retries: int) -> dict[str, int] | None:
-    """None when the batch is stored, else the number of rows that went each way."""
+    Gives the number of rows by outcome.  Rows are counted on their way into the store.
+    """
+    started = time.monotonic()
+    decoded, seen = decode_envelopes(topic), Observation()
+    measures = {"parse_error": F.count_if("parse_error"), "success": F.count_if(~F.col("parse_error"))}
+    events = decoded.observe(seen, *[m.alias(name) for name, m in measures.items()]).filter(~F.col("parse_error"))
+    if _stored(storage_rows(events), batch_id, outputs):
+        counts = observed(seen, decoded, **measures)
+    else:
+        counts = _route(decoded, batch_id, outputs, max_retries)
+    if counts["parse_error"]:
+        if outputs.quarantine is None:
+            raise ValueError(f"{counts['parse_error']} rows of batch {batch_id} cannot be read and have no quarantine")
+        log.warning("batch %s: %s rows cannot be read", batch_id, counts["parse_error"])
+        # The event's timestamp has taken the place of the record time; a broken row has none.
+        kept = [c for c in topic.columns if c != "timestamp"]
+        outputs.quarantine(decoded.filter("parse_error").select(*kept), batch_id)
+    if outputs.audit:
+        outputs.audit(_audit_rows(topic, counts, time.monotonic() - started), batch_id)
+    return {outcome: n for outcome, n in counts.items() if n}
+
+
+def _stored(rows: DataFrame, batch_id: int, outputs: Outputs) -> bool:
+    """Whether the batch is stored.  A fault of the query itself is no fault of the store."""
     try:
-        outputs.table(storage_rows(events), batch_id)
-        return None
+        outputs.table(rows, batch_id)
+        return True
+    except (AnalysisException, TypeError, AttributeError, NameError):
+        raise
     except Exception:
+        if outputs.retry is None and outputs.dead is None:
+            raise
         log.warning("batch %s could not be stored; routing its rows", batch_id, exc_info=True)
-    routed = route_failed(events, max_retries, outputs.retry is not None, outputs.dead is not None).persist()
+        return False
+
+
+def _route(decoded: DataFrame, batch_id: int, outputs: Outputs, max_retries: int) -> dict[str, int]:
+    """Send each row to exactly one of retry and dead."""
+    lossy = outputs.dead is drop
+    routed = route_failed(decoded, max_retries, outputs.retry is not None, not lossy)
+    routed = routed.withColumn("route", F.when(F.col("parse_error"), "parse_error").otherwise(F.col("route"))).persist()
     try:
-        return _send(routed, batch_id, outputs)
+        # At most three routes and the unreadable rows, so four rows reach the driver.
+        counts = {r["route"]: r["n"] for r in routed.groupBy("route").agg(F.count("*").alias("n")).collect()}
+        if counts.get(DEAD) and outputs.dead is None:
+            raise ValueError(f"{counts[DEAD]} rows of batch {batch_id} may not be tried again and have no dead-letter output")
+        return {"parse_error": 0, **_send(routed, counts, batch_id, outputs, LOST if lossy else DEAD)}
     finally:
         routed.unpersist()
 
 
-def _send(routed: DataFrame, batch_id: int, outputs: Outputs) -> dict[str, int]:
-    """Send each row to exactly one of retry and dead; rows with nowhere to go are counted as lost."""
-    # At most three routes, so three rows reach the driver.
-    counts = {r["route"]: r["n"] for r in routed.groupBy("route").agg(F.count("*").alias("n")).collect()}
+def _send(routed: DataFrame, counts: dict[str, int], batch_id: int, outputs: Outputs, given_up: str) -> dict[str, int]:
     dead = routed.filter(F.col("route") == DEAD)
     if counts.get(RETRY):
         try:
             outputs.retry(retry_rows(routed.filter(F.col("route") == RETRY)), batch_id)
         except Exception:
+            if outputs.dead is None:
+                raise
             log.warning("retry rows of batch %s could not be written; giving them up", batch_id, exc_info=True)
-            given_up = DEAD if outputs.dead else LOST
             counts[given_up] = counts.get(given_up, 0) + counts.pop(RETRY)
-            dead = routed if outputs.dead else dead
+            dead = routed.filter(F.col("route") != "parse_error")
     if counts.get(DEAD):
         # A failure here stops the query: the checkpoint has not moved, so nothing is lost.
         outputs.dead(dead_letter_rows(dead), batch_id)
     if counts.get(LOST):
-        log.error("%s rows of batch %s have no dead-letter output and are lost", counts[LOST], batch_id)
+        log.error("%s rows of batch %s are dropped", counts[LOST], batch_id)
     return counts
 
 

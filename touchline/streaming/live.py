@@ -15,7 +15,7 @@ def live_minute_cells(events: DataFrame, watermark: str | None = None) -> DataFr
 
     Without a watermark every late event is counted, as in the batch queries, and state
     grows by one small row per match, minute and type.  A watermark bounds the state but
-    drops events that come later than it allows.
+    drops events that come later than it allows; their number is in the query's progress.
     """
     if watermark is None:
         return minute_cells(events)
@@ -25,11 +25,6 @@ def live_minute_cells(events: DataFrame, watermark: str | None = None) -> DataFr
     )
 
 
-def distinct_events(events: DataFrame, within: str) -> DataFrame:
-    """Drop repeats of an event_id that arrive within the given delay."""
-    return events.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def start_live_cells(cells: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Write the cells each batch changed; :func:`latest_cells` reads them back."""
     writer = (

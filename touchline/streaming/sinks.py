@@ -4,33 +4,89 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from touchline.schema import MATCH_EVENTS
 
 BatchSink = Callable[[DataFrame, int], None]
 
 
-def parquet_batches(path: str, *partition_by: str) -> BatchSink:
-    """Write each batch to its own ``batch_id`` folder, replacing what an earlier try left there."""
+def drop(rows: DataFrame, batch_id: int) -> None:
+    """The choice to drop rows.  What is dropped is counted where it is handed over."""
+
+
+def writer_of(rows: DataFrame, writer: str | None = None) -> str:
+    """Who writes a batch: the given name, or the identity that a stream keeps in its checkpoint.
+
+    Batch numbers start at 0 in every checkpoint, so a number alone does not name a batch.
+    """
+    name = writer or rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not name:
+        raise ValueError("outside of a stream a sink needs the name of its writer")
+    return name
+
+
+def parquet_batches(path: str, *partition_by: str, writer: str | None = None) -> BatchSink:
+    """Write each batch to a folder of its own, below that of its writer.
+
+    A repeated batch replaces what an earlier try left; batches of other writers on the
+    same path are never touched.
+    """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        writer = rows.write.mode("overwrite")
+        frame_writer = rows.write.mode("overwrite")
         if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{path}/batch_id={batch_id}")
+            frame_writer = frame_writer.partitionBy(*partition_by)
+        frame_writer.parquet(f"{path}/writer={writer_of(rows, writer)}/batch_id={batch_id}")
 
     return write
 
 
-def match_events_sink(path: str) -> BatchSink:
+def match_events_sink(path: str, writer: str | None = None) -> BatchSink:
     """Batches of the match_events table, by date.
 
     Without the rebalance every task writes a file per date.  With it a date's rows meet
     first, and adaptive execution splits a date that is too large for one task.
     """
-    write = parquet_batches(path, "event_date")
+    write = parquet_batches(path, "event_date", writer=writer)
     return lambda rows, batch_id: write(rows.hint("rebalance", "event_date"), batch_id)
 
 
+def distinct_match_events_sink(path: str, writer: str | None = None) -> BatchSink:
+    """The same, leaving out events that are stored already, however late they come again.
+
+    A repeat carries the time of its first copy, so it is looked for among the stored rows
+    of the dates in the batch only.  Nothing is dropped for being late.  One writer at a
+    time: two that store the same event at once do not see each other.
+    """
+    write = match_events_sink(path, writer)
+
+    def write_new(rows: DataFrame, batch_id: int) -> None:
+        once = rows.dropDuplicates(["event_date", "event_id"])
+        stored = _stored_ids(rows, path)
+        if stored is not None:
+            # What an earlier try of this very batch has left is about to be replaced.
+            own = (F.col("writer") == writer_of(rows, writer)) & (F.col("batch_id") == batch_id)
+            dates = rows.select("event_date").distinct()
+            stored = stored.filter(~own).join(dates, "event_date", "left_semi").select("event_date", "event_id")
+            once = once.join(stored, ["event_date", "event_id"], "left_anti")
+        write(once, batch_id)
+
+    return write_new
+
+
+def _stored_ids(rows: DataFrame, path: str) -> DataFrame | None:
+    schema = f"event_id string, event_date {MATCH_EVENTS['event_date'].dataType.simpleString()}, writer string, batch_id long"
+    try:
+        return rows.sparkSession.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def kafka_batches(servers: str) -> BatchSink:
     """Publish each batch to the topics named in its rows; a repeated batch is published again."""
     from touchline.sources.topics import write_to_kafka
