@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import table_inputs as E
 from oracle_queries import ORACLES
 from touchline.operators import ledger as L
 from touchline.operators import match_counts as M
@@ -43,7 +44,6 @@ from touchline.schema import (
     REQUEST_SECONDS_BUCKETS,
 )
 from touchline.session import configure, new_run_dir
-from touchline.sources import events_table as E
 from touchline.sources.tables import (
     read_ledger,
     read_match_events,

@@ -156,3 +156,13 @@ def test_metrics_document(spark):
     nothing = latency_percentiles(samples.filter("seq < 0"))
     body = json.loads(P.metrics_json(P.with_latency(metrics, nothing)).first()["body"])
     assert "responseTimePercentiles" not in body and body["totalEvents"] == 2
+
+
+def test_events_without_a_type_count_in_the_total_only(spark):
+    rows = [("m", None, "2031-05-04 18:07:09"), ("m", "goal", "2031-05-04 18:07:10"), ("n", None, "2031-05-04 18:07:09")]
+    df = spark.createDataFrame(rows, "match_id string, event_type string, ts string").selectExpr(
+        "match_id", "event_type", "cast(ts as timestamp) as timestamp"
+    )
+    found = {r["match_id"]: (r["total_events"], r["events_by_type"]) for r in P.match_metrics(df).collect()}
+    assert found == {"m": (2, {"goal": 1}), "n": (1, {})}
+    assert {r["match_id"]: r["events_by_type"] for r in M.events_by_type_map(df).collect()} == {"m": {"goal": 1}, "n": {}}

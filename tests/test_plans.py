@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import table_inputs as E
 from touchline.operators import match_counts as M
 from touchline.operators.decode import decode_documents, decode_envelopes
 from touchline.operators.encode import publish_rows, storage_rows
@@ -14,7 +15,6 @@ from touchline.operators.newest import newest
 from touchline.operators.percentiles import exact_percentiles
 from touchline.operators.validate import accepted, validate
 from touchline.plans import match_metrics as P
-from touchline.sources import events_table as E
 from touchline.sources.tables import read_match_events, write_clustered
 
 SF = "/root/testdata/sf0.001"
@@ -105,6 +105,13 @@ def test_documents_are_parsed_once(spark, tmp_path):
         assert "Exchange" not in text
 
 
+def test_source_filters_pass_the_parse(spark, tmp_path):
+    E.raw_documents(spark, SF).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    for rows in (decode_documents(raw), validate(decode_documents(raw)), decode_envelopes(raw)):
+        assert "EqualTo(doc_id,5)" in plan(rows.filter("doc_id = 5"))
+
+
 @pytest.mark.parametrize("name", [n for n in OWN if n not in STREAMED])
 def test_no_python_and_no_all_pairs(spark, name):
     text = plan(entry.queries()[name](spark, SF))

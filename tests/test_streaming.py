@@ -6,12 +6,12 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+import table_inputs as E
 from touchline.operators.decode import decode_envelopes
 from touchline.operators.encode import publish_rows, storage_rows
 from touchline.operators.match_counts import events_by_type
 from touchline.plans.match_metrics import minute_cells
 from touchline.schema import TOPIC
-from touchline.sources import events_table as E
 from touchline.sources.tables import read_match_events, read_raw_event_stream, write_clustered
 from touchline.sources.topics import append_to_topic, kafka_options, read_topic, read_topic_stream
 from touchline.streaming.consumer import Outputs, consume_batch, start_consumer, stop_gracefully

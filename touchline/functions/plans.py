@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def computed_once(flag: Column) -> Column:
-    """The same column, with filters on it kept above the projection that defines it.
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that no later step computes again.
 
-    Catalyst pushes a filter below a projection by copying the filtered expression.  For a
-    flag that rests on a parsed document that copies the whole parse, once per reference.
-    A non-deterministic part (always true here) makes the optimizer leave the filter where
-    it is, so the document is parsed once per row.
+    Catalyst pushes a filter below a projection by copying what it filters on, which for a
+    flag that rests on a parsed document copies the whole parse, once per reference.  Columns
+    that come out of a generator are not copied: filters on them stay above it, and filters
+    on columns that were there before pass it on their way to the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, flag)
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def observed(seen: Observation, rows: DataFrame, **measures: Column) -> dict[str, int]:

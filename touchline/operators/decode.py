@@ -31,19 +31,19 @@ def decode_documents(raw: DataFrame, column: str = "value", strict_trailing: boo
     fields take their zero value ('' or 0).  Unknown keys are ignored.
     """
     text, doc = F.col(column).cast("string"), F.col("_document")
-    # Each projection reads the one before it several times, so Catalyst keeps them apart
-    # and every text is parsed, and every document walked, once.
-    parsed = raw.withColumn("_document", D.with_mark(text) if strict_trailing else F.try_parse_json(text))
     if strict_trailing:
-        parsed = parsed.withColumn("_document", D.document_alone(doc, text))
-    split = parsed.withColumn("_fields", D.fields_of(doc, *FIELD_KINDS))
+        parsed = computed_once(raw, _marked=D.with_mark(text))
+        parsed = computed_once(parsed, _document=D.document_alone(F.col("_marked"), text)).drop("_marked")
+    else:
+        parsed = computed_once(raw, _document=F.try_parse_json(text))
+    split = computed_once(parsed, _fields=D.fields_of(doc, *FIELD_KINDS))
 
     well_typed = F.lit(True)
     for name, kind in FIELD_KINDS.items():
         well_typed = well_typed & D.has_kind(F.col(f"_fields.{name}"), kind)
     # A lone null is a document without fields.
     usable = F.when(F.col("_fields").isNotNull(), well_typed).otherwise(F.coalesce(F.is_variant_null(doc), F.lit(False)))
-    checked = split.withColumn("malformed", computed_once(~usable))
+    checked = computed_once(split, malformed=~usable)
     good = ~F.col("malformed")
 
     def value(name: str, as_type: str, missing) -> Column:
@@ -70,8 +70,10 @@ def decode_envelopes(topic: DataFrame, column: str = "value") -> DataFrame:
     on the way in and are taken as they are.  A topic row's own ``timestamp`` column is
     the record time and is replaced by the event's.
     """
-    decoded = decode_documents(topic, column, strict_trailing=True).withColumns(
-        {"event_id": canonical_uuid(F.col("raw_event_id")), "timestamp": parse_rfc3339(F.col("raw_timestamp"))}
+    kept = [c for c in topic.columns if c != "timestamp"]
+    decoded = decode_documents(topic.select(*kept), column, strict_trailing=True)
+    checked = computed_once(
+        decoded, event_id=canonical_uuid(F.col("raw_event_id")), timestamp=parse_rfc3339(F.col("raw_timestamp"))
     )
     unusable = F.col("event_id").isNull() | F.col("timestamp").isNull()
-    return decoded.withColumn("parse_error", computed_once(unusable)).drop("malformed", "raw_event_id", "raw_timestamp")
+    return checked.withColumn("parse_error", unusable).drop("malformed", "raw_event_id", "raw_timestamp")

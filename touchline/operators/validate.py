@@ -21,8 +21,8 @@ def validate(decoded: DataFrame, event_types: Sequence[str] = EVENT_TYPES) -> Da
     The first failing check names the error; accepted rows have a NULL ``error_message``.
     Malformed documents have a message but no field.
     """
-    typed = decoded.withColumns(
-        {"event_id": canonical_uuid(F.col("raw_event_id")), "timestamp": parse_rfc3339(F.col("raw_timestamp"))}
+    typed = computed_once(
+        decoded, event_id=canonical_uuid(F.col("raw_event_id")), timestamp=parse_rfc3339(F.col("raw_timestamp"))
     )
     # In the order of FIELD_ERRORS: the position of a failure decides which one is told.
     failures = {
@@ -37,7 +37,7 @@ def validate(decoded: DataFrame, event_types: Sequence[str] = EVENT_TYPES) -> Da
     for name, message in FIELD_ERRORS.items():
         error_field = error_field.when(failures[name], F.lit(name))
         error_message = error_message.when(failures[name], F.lit(message))
-    return typed.withColumns({"error_field": error_field, "error_message": computed_once(error_message)})
+    return typed.withColumns({"error_field": error_field, "error_message": error_message})
 
 
 def accepted(validated: DataFrame, *keep: str) -> DataFrame:
