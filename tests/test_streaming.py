@@ -14,7 +14,7 @@ from touchline.plans.match_metrics import minute_cells
 from touchline.schema import TOPIC
 from touchline.sources.tables import read_match_events, read_raw_event_stream, write_clustered
 from touchline.sources.topics import append_to_topic, kafka_options, read_topic, read_topic_stream
-from touchline.streaming.consumer import Outputs, consume_batch, start_consumer, stop_gracefully
+from touchline.streaming.consumer import Outputs, consume_batch, live_lag, start_consumer, stop_gracefully
 from touchline.streaming.ingest import ingest_batch, start_ingest
 from touchline.streaming.live import latest_cells, live_minute_cells, start_live_cells
 from touchline.streaming.sinks import distinct_match_events_sink, drop, match_events_sink, parquet_batches
@@ -205,7 +205,7 @@ def test_graceful_stop_processes_what_arrived(spark, tmp_path):
         read_topic_stream(spark, f"{tmp_path}/topic"), Outputs(match_events_sink(f"{tmp_path}/table")), f"{tmp_path}/c"
     )
     stop_gracefully(query)
-    assert not query.isActive
+    assert not query.isActive and live_lag(query) == []
     assert read_match_events(spark, f"{tmp_path}/table").count() == 1000
 
 
@@ -272,3 +272,18 @@ def test_clustered_rewrite_keeps_all_rows(spark, tmp_path):
     assert as_set(read_match_events(spark, f"{tmp_path}/table")) == as_set(rows)
     one_day = read_match_events(spark, f"{tmp_path}/table", "2024-01-05", "2024-01-06")
     assert {str(r[0]) for r in one_day.select("event_date").distinct().collect()} == {"2024-01-05", "2024-01-06"}
+
+
+def test_live_lag_of_a_topic():
+    class Running:
+        lastProgress = {
+            "sources": [
+                {"endOffset": '{"a":{"0":5,"1":7}}', "latestOffset": '{"a":{"0":9,"1":7,"2":3}}'},
+                {"endOffset": None, "latestOffset": {"b": {"0": 4}}},
+                {"endOffset": '{"logOffset":3}', "latestOffset": None},
+            ]
+        }
+
+    assert live_lag(Running()) == [("a", 0, 4), ("a", 1, 0), ("a", 2, 3), ("b", 0, 4)]
+    Running.lastProgress = None
+    assert live_lag(Running()) == []

@@ -45,7 +45,6 @@ BATCH_INTERVAL = "5 seconds"
 REQUEST_SECONDS_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 QUERY_SECONDS_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 CONSUME_SECONDS_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
-PRODUCE_SECONDS_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 BATCH_ROWS_BUCKETS = (1, 10, 50, 100, 500, 1000, 5000, 10000)
 MESSAGE_BYTES_BUCKETS = (100, 500, 1000, 5000, 10000, 50000, 100000)
 
@@ -97,13 +96,3 @@ ROSTER = T.StructType(
     ]
 )
 
-MINUTE_CELLS = T.StructType(
-    [
-        T.StructField("match_id", T.StringType()),
-        T.StructField("minute", T.TimestampType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("event_count", T.LongType()),
-        T.StructField("first_event_at", T.TimestampType()),
-        T.StructField("last_event_at", T.TimestampType()),
-    ]
-)
