@@ -276,13 +276,16 @@ def test_clustered_rewrite_keeps_all_rows(spark, tmp_path):
 
 def test_live_lag_of_a_topic():
     class Running:
-        lastProgress = {
-            "sources": [
-                {"endOffset": '{"a":{"0":5,"1":7}}', "latestOffset": '{"a":{"0":9,"1":7,"2":3}}'},
-                {"endOffset": None, "latestOffset": {"b": {"0": 4}}},
-                {"endOffset": '{"logOffset":3}', "latestOffset": None},
-            ]
-        }
+        class lastProgress:  # noqa: N801
+            json = json.dumps(
+                {
+                    "sources": [
+                        {"endOffset": {"a": {"0": 5, "1": 7}}, "latestOffset": {"a": {"0": 9, "1": 7, "2": 3}}},
+                        {"endOffset": None, "latestOffset": {"b": {"0": 4}}},
+                        {"endOffset": {"logOffset": 3}, "latestOffset": None},
+                    ]
+                }
+            )
 
     assert live_lag(Running()) == [("a", 0, 4), ("a", 1, 0), ("a", 2, 3), ("b", 0, 4)]
     Running.lastProgress = None

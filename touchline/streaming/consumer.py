@@ -136,9 +136,10 @@ def start_consumer(
 
 def live_lag(query: StreamingQuery) -> list[tuple[str, int, int]]:
     """(topic, partition, rows not yet consumed) of a running query's Kafka sources, from its latest progress."""
+    # As JSON: the progress object keeps offsets in another spelling.
     progress, found = query.lastProgress, []
-    for source in progress["sources"] if progress else []:
-        done, latest = (_offsets(source[name]) for name in ("endOffset", "latestOffset"))
+    for source in json.loads(progress.json)["sources"] if progress else []:
+        done, latest = (_offsets(source.get(name)) for name in ("endOffset", "latestOffset"))
         for topic, partitions in latest.items():
             read = done.get(topic, {})
             found += [(topic, int(p), offset - read.get(p, 0)) for p, offset in partitions.items()]
@@ -147,8 +148,7 @@ def live_lag(query: StreamingQuery) -> list[tuple[str, int, int]]:
 
 def _offsets(told) -> dict:
     """Offsets by topic and partition; sources of other kinds tell theirs in other shapes, which give none."""
-    told = json.loads(told) if isinstance(told, str) else told
-    return {t: p for t, p in (told or {}).items() if isinstance(p, dict)} if isinstance(told, dict) else {}
+    return {t: p for t, p in told.items() if isinstance(p, dict)} if isinstance(told, dict) else {}
 
 
 def stop_gracefully(query: StreamingQuery) -> None:
