@@ -200,6 +200,20 @@ def test_toxic_words_are_learned_and_held_out_texts_told_apart(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in held)
 
 
+def test_a_rare_toxic_word_is_learned_from_a_large_sample(spark):
+    # Two toxic texts in each 3,000 labelled ones say the word, as many as a model of 3,000 rows alone would ignore.
+    count = 9000
+    step = {n: i for i, n in enumerate(n for n in range(count) if zlib.crc32(str(n).encode()) % 5)}
+    signs = {n for n, i in step.items() if i % 1200 == 600}
+    texts = [f"calm{i % 7} calm{i % 11} calm{i % 13}" + (" vile" if i in signs else "") for i in range(count)]
+    labels = spark.createDataFrame([(i, 1, int(i in signs)) for i in range(count)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs(spark, texts), labels)
+    table = model.table()
+    vile, calm = (toxicity.score_text(t.encode(), table, model.bias) for t in ("calm1 vile", "calm1"))
+    assert len(signs) == 6 and vile > 0.5 > calm
+    assert [toxicity.train(docs(spark, texts).repartition(5), labels).bias] == [model.bias]
+
+
 def test_held_out_labels_do_not_change_scores(spark):
     documents, labels = toxic_tables(spark, 300)
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic) as toxic")

@@ -4,9 +4,10 @@ A text's features are the distinct hashes of its words, of neighbours, and of wo
 ``2 ** BITS`` cells. Each cell has its own learning rate, and the L1 term keeps most weights at zero, so the model
 is a short list of cells that every task holds.
 
-Learning: the labelled rows, at most ``SAMPLE_ROWS`` of them by a hash of doc_id, are dealt to shards of a bounded
-number of rows. Cells in too few texts are left out. In each round every shard runs FTRL from the common state in a task of its own, and the
-states, a bounded number of cells in a bounded number of shards, are averaged by cell. Texts of the sample are turned into features once, in a stored table.
+Learning: the labelled rows, at most ``SAMPLE_ROWS`` of them by a hash of doc_id, are turned into features in parallel
+and stored once. One task then runs FTRL over them, in the order of a hash and ``ROUNDS`` times, from one state to the
+next, so that the evidence of every text counts in full and no cell is left out. Its work is bounded by the sample, its
+memory by the cells: the features lie in a temporary file of the task.
 
 Defined cases: null and empty texts have no feature and get the score of the bias alone. A null label, or one other
 than 0 and 1, is no label; where a doc_id has several labels it is toxic if one says so. A null doc_id has no label
@@ -16,8 +17,9 @@ score is 0 (or 1, if all labels are 1). Repeated rows are scored row by row. Oth
 
 from __future__ import annotations
 
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +34,6 @@ BITS = 22
 #: The bound on labelled rows to learn from.
 SAMPLE_ROWS = 24_000
 SAMPLE_BUCKETS = 4096
-SHARD_ROWS = 3_000
-#: Cells in fewer texts of the sample than this, or this share of them, are left out.
-LEAST_TEXTS, LEAST_SHARE = 3, 2_000
 ROUNDS = 4
 
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
@@ -75,7 +74,7 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(size > 0, -np.sign(z) * size / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+def ftrl(rows: Iterable[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
     """One pass over rows of (places in the state, label); ``z`` and ``n`` change in place, the bias is last."""
     for at, label in rows:
         w = weights_of(z[at], n[at])
@@ -88,46 +87,38 @@ def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> No
         n[at] = after
 
 
-PASSED = "z binary, n binary"
-
-
-def _shard_pass(held):
-    """Learns one shard from the common state; one row with the shard's state, a number for each cell of the model."""
-
-    def learn(batch: pa.Table) -> pa.Table:
-        order = np.lexsort((batch["doc_id"].to_numpy(), batch["turn"].to_numpy()))
-        texts, labels = batch["cells"].to_pylist(), batch["toxic"].to_pylist()
-        known, z, n = held.value
-        z, n, bias = z.astype(np.float64), n.astype(np.float64), len(known)
-        rows = []
-        for i in order:
-            cells = np.frombuffer(texts[i], np.int32)
-            at = np.searchsorted(known, cells)
-            at[at == bias] = 0
-            at = at[known[at] == cells] if bias else at
-            rows.append((np.append(at, bias), labels[i]))
-        ftrl(rows, z, n)
-        return pa.table({k: pa.array([v.astype(np.float32).tobytes()], pa.binary()) for k, v in (("z", z), ("n", n))})
-
-    return learn
-
-
-def _cell_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts each cell occurs, up to 255, one row for a task."""
-    total = np.zeros(1 << BITS, np.uint8)
-    for batch in batches:
-        for cells in batch.column("cells").to_pylist():
-            at = np.frombuffer(cells, np.int32)
-            total[at] += total[at] < 255
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["texts"])
-
-
-def frequent_cells(rows: DataFrame, least: int) -> np.ndarray:
-    """Cells that occur in ``least`` texts of the sample or more. The sample's shards bound the rows that come back."""
-    total = np.zeros(1 << BITS, np.int64)
-    for row in rows.select("cells").mapInArrow(_cell_texts, "texts binary").toLocalIterator():
-        total += np.frombuffer(row["texts"], np.uint8)
-    return np.flatnonzero(total >= least).astype(np.int32)
+LEARNED = "cells binary, weights binary, bias double"
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model of all rows of (doc_id, toxic, cells, turn); no row without any."""
+    with tempfile.TemporaryFile() as features:
+        rows, end = [], 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("turn", "doc_id", "toxic", "cells")]
+            for turn, doc_id, toxic, cells in zip(*columns, strict=True):
+                features.write(cells)
+                # Rows with equal ids are put in order by their features.
+                rows.append((turn, doc_id, zlib.crc32(cells), end, len(cells), toxic))
+                end += len(cells)
+        if not rows:
+            return
+        rows.sort()
+        bias = 1 << BITS
+        z, n = np.zeros(bias + 1), np.zeros(bias + 1)
+
+        def in_order() -> Iterator[tuple[np.ndarray, int]]:
+            for *_, start, length, toxic in rows:
+                features.seek(start)
+                yield np.append(np.frombuffer(features.read(length), np.int32), bias), toxic
+
+        for _ in range(ROUNDS):
+            ftrl(in_order(), z, n)
+    w = weights_of(z[:-1], n[:-1])
+    cells = np.flatnonzero(w).astype(np.int32)
+    b = float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA))
+    columns = [pa.array([x.tobytes()], pa.binary()) for x in (cells, w[cells].astype(np.float32))]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array([b])], ["cells", "weights", "bias"])
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -166,32 +157,12 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         return lambda text: (np.unique(cells_of(text)).astype(np.int32).tobytes(),)
 
     rows = per_row(chosen, "text", compute, FEATURES, ["doc_id", "toxic"])
-    shards = max(1, -(-sum(counts.values()) // SHARD_ROWS))
-    rows = rows.withColumn("turn", F.xxhash64("doc_id", F.lit("order"))).withColumn("shard", F.pmod("turn", F.lit(shards)))
-    # One file for each shard, so that the counts of cells come back in as few rows.
-    rows = stored(rows.repartition(shards, "shard"), "features")
-    size = sum(counts.values())
-    cells = frequent_cells(rows, max(LEAST_TEXTS, -(-size // LEAST_SHARE)))
-    z, n = np.zeros(len(cells) + 1, np.float32), np.zeros(len(cells) + 1, np.float32)
-    for _ in range(ROUNDS):
-        state = spark.sparkContext.broadcast((cells, z, n))
-        sums = [np.zeros(len(z)) for _ in range(3)]
-        for row in rows.groupBy("shard").applyInArrow(_shard_pass(state), PASSED).toLocalIterator():
-            z_s, n_s = np.frombuffer(row["z"], np.float32), np.frombuffer(row["n"], np.float32)
-            # A shard without a cell has nothing to say about it.
-            met = n_s != n
-            for total, values in zip(sums, (z_s, n_s, met), strict=True):
-                total += np.where(met, values, 0)
-        met = sums[2] > 0
-        z = np.where(met, sums[0] / np.maximum(sums[2], 1), z).astype(np.float32)
-        n = np.where(met, sums[1] / np.maximum(sums[2], 1), n).astype(np.float32)
-        # Cells without a weight start afresh.
-        idle = np.abs(z) <= L1
-        idle[-1] = False
-        z[idle], n[idle] = 0, 0
-        state.unpersist()
-    w = weights_of(z[:-1], n[:-1])
-    return Model(cells[w != 0].astype(np.int64), w[w != 0].astype(np.float32), float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA)))
+    rows = stored(rows.withColumn("turn", F.xxhash64("doc_id", F.lit("order"))), "features")
+    learned = rows.coalesce(1).mapInArrow(_learn, LEARNED).first()
+    if learned is None:
+        return Model(np.empty(0, np.int64), np.empty(0, np.float32), 0.0)
+    cells, weights = np.frombuffer(learned["cells"], np.int32), np.frombuffer(learned["weights"], np.float32)
+    return Model(cells.astype(np.int64), weights, learned["bias"])
 
 
 def score_text(text: bytes | None, table: np.ndarray, bias: float) -> float:
