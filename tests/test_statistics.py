@@ -140,6 +140,17 @@ def test_newest_of_ties_and_short_tables(spark):
     assert {r["seq"] for r in newest(spread, ["ts", "seq"], 777).collect()} == wanted
 
 
+def test_newest_keeps_rows_without_a_time(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else i, "k", 1.0 * i) for i in range(10)], "seq bigint, ts bigint, k string, v double")
+    for by in ([], ["k"]):
+        kept = lambda n, by=by: {r["seq"] for r in newest(df, ["ts", "seq"], n, by).collect()}
+        assert kept(10) == kept(12) == set(range(10))
+        assert kept(7) == {0, 2, 4, 6, 8, 9, 7} and kept(5) == {0, 2, 4, 6, 8} and kept(2) == {6, 8}
+        undated = df.withColumn("ts", F.lit(None).cast("timestamp"))
+        assert {r["seq"] for r in newest(undated, ["ts", "seq"], 3, by).collect()} == {7, 8, 9}
+    assert latency_percentiles(df, value="v", n=10).first()["p50"] == 4.5
+
+
 def test_nan_is_no_measurement(spark):
     rows = histogram(spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double"), "v", (2.0,)).collect()
     assert [(r["bucket_count"], r["value_count"], r["value_sum"]) for r in rows] == [(1, 1, 1.0)] * 2

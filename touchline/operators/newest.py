@@ -30,7 +30,7 @@ def newest(rows: DataFrame, order: Sequence[str], n: int = LATENCY_WINDOW, by: S
 
 
 def _since_cut_off(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows from the latest value on that leaves at least ``n`` of them, all rows if there are fewer.
+    """Rows from the latest value on that leaves at least ``n`` of them, all rows, nulls too, if there are fewer.
 
     Each round counts the steps of a span, combined on the map side, and goes on with the
     step in which the n-th row lies; it ends when a step brings few rows or is one value.
@@ -42,9 +42,11 @@ def _since_cut_off(rows: DataFrame, column: str, n: int) -> DataFrame:
         number, literal = F.col(column).cast("long"), lambda v: F.lit(v)
     else:
         return rows
-    low, high = rows.agg(F.min(number), F.max(number)).first()
+    low, high, dated = rows.agg(F.min(number), F.max(number), F.count(number)).first()
+    if low is None or dated < n:
+        return rows
     after = 0
-    while low is not None and low < high:
+    while low < high:
         width = max(1, -(-(high - low + 1) // STEPS))
         step = F.floor((number - low) / width).cast("int")
         inside = rows.filter((F.col(column) >= literal(low)) & (F.col(column) <= literal(high)))
@@ -58,7 +60,7 @@ def _since_cut_off(rows: DataFrame, column: str, n: int) -> DataFrame:
         low, high = low + s * width, min(high, low + (s + 1) * width - 1)
         if sizes[s] <= n or width == 1:
             break
-    return rows if low is None else rows.filter(F.col(column) >= literal(low))
+    return rows.filter(F.col(column) >= literal(low))
 
 
 def _top(rows: DataFrame, keys: Sequence[str], latest_first: Sequence[Column], n: int) -> DataFrame:
