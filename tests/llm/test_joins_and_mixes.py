@@ -151,6 +151,18 @@ def test_mix_follows_targets(spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mixture(table.repartition(7)).collect()))
 
 
+def test_small_sources_meet_their_targets(spark):
+    # Sources of 5, 33, 40 and 12 words beside a large one; some targets are smaller than a slot.
+    sizes = {"a": [2, 3], "b": [33], "c": [10, 30], "d": [1] * 12, None: [90] * 60}
+    flat = [(s, n) for s, many in sizes.items() for n in many]
+    table = spark.createDataFrame([(i, "w " * n, "en", s, 0) for i, (s, n) in enumerate(flat)], DOCS)
+    taken = defaultdict(int)
+    for r in mixing.documents_taken(table).collect():
+        assert 0 < r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert taken == {"a": 15, "b": 99, "c": 120, "d": 36, None: 5490 - 270}
+
+
 def test_points_are_spread_evenly(spark):
     points = sorted(r[0] for r in spark.range(4096).select(mixing.point(mixing.F.col("id"))).collect())
     gaps = np.diff(points)

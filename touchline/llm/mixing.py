@@ -6,6 +6,11 @@ stops at ``EPOCHS`` times its source's size and the excess goes to the others by
 on the line of cumulative targets. The r-th slot of a source takes block r of its documents, laid end to
 end in a shuffled order; past the last block the source starts over.
 
+``mixture`` counts whole slots, as its SQL does, so a source's last block and its number of slots make it miss its target
+by some blocks. ``documents_taken`` does not: a source's documents are one stream of words that starts over when it
+ends, its slots take that stream's words in order, and its last slot is trimmed or extended to the rounded target.
+What it takes of a document follows from the target alone, so small sources are not lost.
+
 Nothing is ordered as a whole: documents are placed by hash bucket (sums of buckets first, then within a bucket), slots
 are ranked by chunk of the schedule, so that a source with a third of all rows is still spread over many tasks.
 
@@ -156,6 +161,18 @@ def mixed(documents: DataFrame) -> DataFrame:
     return taken.unionByName(rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
+def filled(documents: DataFrame) -> DataFrame:
+    """The rows of ``mixed``, but each source takes its rounded target: whole rounds, then its leading words once more."""
+    rows = stored(placed(documents), "sizes")
+    rows = laid_out(rows, stored(targets(rows), "targets"))
+    words, source_size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    rest = words % source_size
+    again = F.greatest(F.least("end", rest) - F.col("start"), F.lit(0))
+    taken = F.col("size") * F.floor((words - rest) / source_size) + again
+    columns = ["doc_id", "source", "key", "copy", "size", "source_size", "target"]
+    return rows.select(*columns, taken.cast("long").alias("taken"))
+
+
 def mixture(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     return mixed(documents).select("doc_id", "size", "source_size", "target", "taken")
@@ -171,6 +188,6 @@ def documents_taken(documents: DataFrame) -> DataFrame:
         F.col("source").alias("of"),
     )
     numbered = F.row_number().over(W.partitionBy("key").orderBy(F.col("of").asc_nulls_last()))
-    taken = mixed(documents).where("taken > 0").select("key", "copy", "size", "taken")
+    taken = filled(documents).where("taken > 0").select("key", "copy", "size", "taken")
     rows = keyed.withColumn("copy", numbered).join(taken, ["key", "copy"])
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "size", "taken")
