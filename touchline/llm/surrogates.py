@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn-valid), US social security numbers,
-names after an honorific, and credentials (access key ids, values after ``password=``, ``token = "..."`` and the like).
+names after honorifics (all words of the name), and credentials (access key ids, values after ``password=``, ``token = "..."`` and the like).
 
 Each entity is reduced to its type and canonical form (letters and digits in lower case), and gets a replacement drawn
 from a keyed hash: digits for digits, letters for letters, upper case where the original has it, punctuation as it
@@ -32,29 +32,39 @@ MAX_DRAWS = 50
 HONORIFICS = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа", "Κυρία"),
     "m": ("Mr", "Herr", "Señor", "Monsieur", "г-н", "Κύριος"),
+    "n": ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Mx"),
 }
 _TITLE = "|".join(sorted((t for ts in HONORIFICS.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}++"
+_PARTICLE = "van|von|vom|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|zu|zum|zur|bin|al|el"
+#: A word of a name: inner and all capitals, O'Brien, Meyer-Landrut; or an initial before another word.
+_NAME = (
+    rf"(?:(?:{_PARTICLE}) )*+(?!(?:{_TITLE})\.? )"
+    r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+|-[\p{L}\p{M}]++)*+)"
+)
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
 PHONE = (
     r"(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])"
     r"|(?<![\w+.])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-])"
     r"|(?<![\w+.])\+\d{8,15}(?![\w-])"
-    r"|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+    r"|(?<![\w+.])(?=\+(?:[ .()-]{0,2}\d){8})\+\d{1,3}(?:[ .-]?\(\d{1,4}\)[ .-]?\d{1,4}|[ .-]\d{1,4})(?:[ .-]\d{2,8}){1,5}(?![\w-])"
+    r"|(?<![\w+.-])\(\d{2,5}\)[ .-]?\d{5,8}(?![\w-])"
+    r"|(?<![\w+.-])(?<!\d )\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])(?! \d)"
+    r"|(?<![\w+.-])(?<!\d )0(?:\d(?:[ .-]\d{2}){4}|\d{1,4}[ /-]\d{5,8}|\d{1,4} \d{3,4} \d{3,4})(?![\w-])(?! \d)"
 )
 IP = rf"(?<![\w.-])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w-]|\.\d)"
 CARD = r"(?<![\w+.-])[2-6]\d{3}(?:([ -]?)\d{4}\1\d{4}\1\d{1,7}|[ -]\d{6}[ -]\d{5}|\d{9,11})(?![\w-])"
 SSN = r"(?<![\w+.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 KEY_ID = r"(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w)"
 SECRET = r"(?<!\w)(?i:password|passwd|pwd|secret|token|api[_-]?key)(?: ?[=:] ?\"[^\"\s]{6,}+\"|[=:][^\s\"',;]{6,}+)"
-NAME = rf"(?<!\w)(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
+_HEAD = rf"(?:(?:{_TITLE})\.? )+"
+NAME = rf"(?<!\w){_HEAD}{_NAME}(?: {_NAME})*+"
 
 CARD_FREE = CARD.replace("([ -]?)", "(?:[ -]?)").replace(r"\1", "[ -]?")
 ENTITY = "|".join((EMAIL, SECRET, KEY_ID, IP, SSN, PHONE, CARD_FREE, NAME))
 #: Texts without any of these hold no entity; the search costs far less than the full expression.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]|A[KS]IA[A-Z0-9]{{16}}|(?:{_TITLE})\.? (?:(?:{_PARTICLE}) )*\p{{Lu}}"
 
 # -- fixed values: given names by script and gender
 GIVEN = {
@@ -106,7 +116,7 @@ def is_entity(kind: Column, value: Column) -> Column:
 def split_value(kind: Column, value: Column) -> tuple[Column, Column]:
     """A fixed head of the entity's text, and the rest that is to be replaced."""
     secret = F.regexp_extract(value, r"^(\w+(?:-\w+)? ?[=:] ?\"?)", 1)
-    name = F.regexp_extract(value, rf"^((?:{_TITLE})\.? )", 1)
+    name = F.regexp_extract(value, rf"^({_HEAD})", 1)
     phone = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ (.-])|\+\d{2})", 1)
     head = (
         F.when(kind == "secret", secret)
@@ -124,8 +134,9 @@ def canonical(kind: Column, value: Column) -> Column:
 
     Kept heads belong to it, so that no two entities differ in nothing but their head.
     """
-    gender = F.when(value.rlike(rf"^(?:{'|'.join(HONORIFICS['f'])})"), "f").otherwise("m")
     head, rest = split_value(kind, value)
+    says = lambda g: head.rlike(rf"(?:^| )(?:{'|'.join(HONORIFICS[g])})\.? ")
+    gender = F.when(says("f"), "f").when(says("m"), "m").otherwise("n")
     return (
         F.when(kind == "name", F.concat_ws(" ", gender, F.lower(rest)))
         .when(kind == "secret", F.regexp_replace(rest, "\"$", ""))
@@ -184,8 +195,8 @@ def drawn(kind: Column, canon: Column, attempt: Column) -> Column:
     for s in SYLLABLES:
         family = F.initcap(F.concat(*[_pick(SYLLABLES[s], _hex(seed, 9 + 4 * i, 4)) for i in range(4)]))
         surname = F.when(script == s, family) if surname is None else surname.when(script == s, family)
-        for g in "fm":
-            first = _pick(GIVEN[f"{s}_{g}"], _hex(seed, 1, 8))
+        for g in "fmn":
+            first = _pick(" ".join(GIVEN[f"{s}_{x}"] for x in ("fm" if g == "n" else g)), _hex(seed, 1, 8))
             both = (script == s) & (gender == g)
             given = F.when(both, first) if given is None else given.when(both, first)
     name = F.when(words > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname)
@@ -225,6 +236,7 @@ def worn(kind: Column, value: Column, replacement: Column) -> Column:
         .when(kind == "email", email)
         .when(kind == "key_id", F.upper(replacement))
         .when(kind == "secret", F.concat(head, replacement, F.when(value.endswith('"'), '"').otherwise("")))
+        .when((kind == "name") & (F.length(rest) > 1) & (rest == F.upper(rest)), F.concat(head, F.upper(replacement)))
         .when(kind == "name", F.concat(head, replacement))
         .otherwise(replacement)
     )
