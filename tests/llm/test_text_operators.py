@@ -330,6 +330,17 @@ def test_colliding_replacements_are_drawn_again(spark, monkeypatch):
     assert len(made) == 20 and len({r["replacement"] for r in made}) == 20
 
 
+def test_full_spaces_do_not_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: " ".join(v.split()[:2]) for k, v in surrogates.SYLLABLES.items()})
+    monkeypatch.setattr(surrogates, "MAX_DRAWS", 8)
+    found = [("email", f"{i:02}@x.org") for i in range(100)] + [("email", f"{c}@y.org") for c in "abcdef"] + [("secret", "******")]
+    found += [("name", f"m n{i}") for i in range(40)] + [("name", "f baba"), ("name", "m baden")] + [("phone", f"1-{i}") for i in range(10)]
+    made = surrogates.replacements(spark.createDataFrame(found, "kind string, canon string")).collect()
+    assert len(made) == len(found) == len({(r["kind"], r["replacement"].lower()) for r in made})
+    real = {(k, c[2:] if k == "name" else c) for k, c in found if k != "phone"}
+    assert all((r["kind"], r["replacement"].lower()) not in real and r["replacement"] != r["canon"] for r in made)
+
+
 def test_many_entities_stay_distinct(spark):
     texts = [f"host 10.0.{i // 250}.{i % 250} mail u{i}@a.org" for i in range(600)]
     found = [re.findall(r"host (\S+) mail (\S+)", r["text"])[0] for r in surrogates.surrogate_documents(docs(spark, texts)).collect()]

@@ -9,7 +9,9 @@ stands, the country code of a telephone number and the first digit of a card kep
 below the reserved ``.example``, given names of the honorific's gender in the script of the name. The same entity is
 replaced alike everywhere (coreference). All distinct entities are then checked together: where two would get
 the same replacement, or one gets the text of a real entity, all but one draw again, until none is left
-(distinctness). Nothing is collected: entities, checks and replacements are tables.
+(distinctness). Later draws of names, e-mail addresses and secrets are longer, so their space does not fill up. Where the
+values of a fixed form (digits, addresses, key ids) are nearly all in use, that form's entities are dealt each other's
+values in a keyed order: still distinct, and none keeps its own, but real values of others. Nothing is collected: entities, checks and replacements are tables.
 
 Defined cases: a null text stays null, an empty one empty, both with 0 entities. Equal texts get equal results; repeated
 rows stay. Texts without an entity are returned as they are. An empty table gives an empty result. Other columns pass.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import stored
 
 KEY = "surrogates-1"
-#: Draws after which a type's space counts as full.
+#: Draws after which a fixed form's space counts as full, and its entities exchange their own values.
 MAX_DRAWS = 50
 
 # -- detection. Every alternative starts at a place where no entity can have begun before, and runs are possessive.
@@ -182,7 +184,9 @@ def drawn(kind: Column, canon: Column, attempt: Column) -> Column:
     # A domain is replaced alike for all its addresses, whatever the draw.
     of_domain = F.sha2(F.concat_ws("|", F.lit(KEY), F.lit("domain"), domain), 256)
     site = F.regexp_replace(domain, r"\.[^.]+$", "")
-    email = F.concat(_shifted(local, seed), F.lit("@"), _shifted(site, of_domain), F.lit(".example"))
+    # The second draw after the first collision begins to be longer, by one more letter each.
+    letters = F.translate(F.substr(F.sha2(seed, 256), F.lit(1), F.greatest(F.least(attempt - 1, F.lit(16)), F.lit(0))), "0123456789", "ghijklmnop")
+    email = F.concat(_shifted(local, seed), letters, F.lit("@"), _shifted(site, of_domain), F.lit(".example"))
     octets = F.array_join(F.array(*[(_hex(seed, 1 + 8 * i, 8) % 254 + 1).cast("string") for i in range(4)]), ".")
     # Cards: all digits but the first and the last are drawn, the last makes the sum right.
     body = F.concat(F.substring(canon, 1, 1), _shifted(F.substr(canon, F.lit(2), F.length(canon) - 2), seed))
@@ -193,7 +197,10 @@ def drawn(kind: Column, canon: Column, attempt: Column) -> Column:
     gender = F.substring(canon, 1, 1)
     given, surname = None, None
     for s in SYLLABLES:
-        family = F.initcap(F.concat(*[_pick(SYLLABLES[s], _hex(seed, 9 + 4 * i, 4)) for i in range(4)]))
+        # Each draw after the first has a syllable more.
+        parts = [_pick(SYLLABLES[s], _hex(seed, 9 + 4 * i, 4)) for i in range(14)]
+        parts = [part if i < 4 else F.when(attempt > i - 4, part).otherwise("") for i, part in enumerate(parts)]
+        family = F.initcap(F.concat(*parts))
         surname = F.when(script == s, family) if surname is None else surname.when(script == s, family)
         for g in "fmn":
             first = _pick(" ".join(GIVEN[f"{s}_{x}"] for x in ("fm" if g == "n" else g)), _hex(seed, 1, 8))
@@ -207,6 +214,7 @@ def drawn(kind: Column, canon: Column, attempt: Column) -> Column:
         .when(kind == "name", name)
         .when(kind == "key_id", F.concat(F.substring(canon, 1, 4), _shifted(F.substring(canon, 5, 16), seed)))
         .when(kind == "phone", F.concat(F.substring_index(canon, "-", 1), F.lit("-"), _shifted(F.substring_index(canon, "-", -1), seed)))
+        .when(kind == "secret", F.concat(_shifted(canon, seed), letters))
         .otherwise(_shifted(canon, seed))
     )
 
@@ -253,24 +261,45 @@ def mentions(texts: DataFrame) -> DataFrame:
     return rows.withColumn("canon", canonical(F.col("kind"), F.col("value")))
 
 
+def _exchanged(entities: DataFrame, open_: DataFrame) -> DataFrame:
+    """``entities`` with each form of those still ``open_`` dealt its own values, one on in a keyed order."""
+    # What worn() keeps of a mention, the head and the number of digits, is the form.
+    kept = F.when(F.col("kind") == "phone", F.substring_index("canon", "-", 1)).when(F.col("kind") == "card", F.substring("canon", 1, 1))
+    kept = kept.when(F.col("kind") == "key_id", F.substring("canon", 1, 4)).otherwise("")
+    form = F.concat_ws("|", "kind", kept, F.when(F.col("kind") != "ip", F.length("canon")))
+    full = open_.select(form.alias("form")).distinct().withColumn("full", F.lit(True))
+    keyed = W.partitionBy("form").orderBy(F.sha2(F.concat_ws("|", F.lit(KEY), "canon"), 256), "canon")
+    rows = entities.withColumn("form", form).join(full, "form", "left")
+    dealt = rows.where("full").withColumn("replacement", F.coalesce(
+        F.lead("canon").over(keyed), F.first("canon").over(keyed.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    columns = ["kind", "canon", "replacement"]
+    return rows.where("full is null").select(*columns).unionByName(dealt.select(*columns))
+
+
 def replacements(rows: DataFrame) -> DataFrame:
     """kind, canon and replacement of every distinct entity; no two of a kind share one, none is a real entity."""
     made = drawn(F.col("kind"), F.col("canon"), F.col("attempt"))
     entities = rows.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("replacement", made)
     entities = stored(entities, "entities")
-    for _ in range(MAX_DRAWS):
-        real = entities.select("kind", F.col("canon").alias("replacement"), F.lit(None).cast("string").alias("canon"))
-        every = real.unionByName(entities, allowMissingColumns=True)
-        turn = F.row_number().over(W.partitionBy("kind", "replacement").orderBy(F.col("canon").asc_nulls_first()))
-        checked = every.withColumn("turn", turn).where("canon is not null")
+    # Names are compared without their gender and in lower case.
+    name = F.col("kind") == "name"
+    real_text = F.when(name, F.substr("canon", F.lit(3))).otherwise(F.col("canon"))
+    text = F.when(name, F.lower("replacement")).otherwise(F.col("replacement"))
+    for draw in range(MAX_DRAWS):
+        real = entities.select("kind", real_text.alias("as_text"), F.lit(None).cast("string").alias("canon"))
+        every = real.unionByName(entities.withColumn("as_text", text), allowMissingColumns=True)
+        turn = F.row_number().over(W.partitionBy("kind", "as_text").orderBy(F.col("canon").asc_nulls_first()))
+        checked = every.withColumn("turn", turn).where("canon is not null").drop("as_text")
         again = F.col("turn") > 1
-        if checked.where(again).isEmpty():
+        left = checked.where(again)
+        if left.isEmpty():
             return entities.select("kind", "canon", "replacement")
+        if draw == MAX_DRAWS - 1:
+            return stored(_exchanged(entities, stored(left.select("kind", "canon"), "full")), "entities")
         # The draw goes up by the place among those that collide, so a large group does not collide once more as a whole.
         checked = checked.withColumn("attempt", F.when(again, F.col("attempt") + F.col("turn") - 1).otherwise(F.col("attempt")))
         fresh = checked.withColumn("replacement", F.when(again, made).otherwise(F.col("replacement")))
         entities = stored(fresh.select("kind", "canon", "attempt", "replacement"), "entities")
-    raise ValueError("distinct replacements ran out: a kind of entity has nearly as many members as replacements")
 
 
 def pseudonymised(documents: DataFrame) -> DataFrame:
