@@ -221,6 +221,16 @@ def test_held_out_labels_do_not_change_scores(spark):
     assert rows[0] == rows[1]
 
 
+def test_samples_meet_their_bound_whatever_the_number_of_labels(spark, monkeypatch):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 2 as int) as toxic")
+    for bound in (3, 700):
+        # 60,000 labels are 15 to each of 4,096 steps of the hash, more than the bound of 3.
+        monkeypatch.setattr(toxicity, "SAMPLE_ROWS", bound)
+        monkeypatch.setattr(resampling, "SAMPLE_ROWS", bound)
+        assert toxicity.sample_of(labels).count() == resampling.targets_of(labels).count() == bound
+    assert toxicity.sample_of(labels.limit(600)).count() == 600 and toxicity.sample_of(labels.limit(0)).isEmpty()
+
+
 def test_toxicity_of_odd_rows(spark):
     documents, labels = toxic_tables(spark, 300)
     odd = spark.createDataFrame([(None, None, None, None, 0), (5000, "", "en", "s", 0), (5001, LONG, "en", "s", 0), (7, "calm1", "en", "s", 1)], DOCS)

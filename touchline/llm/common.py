@@ -71,6 +71,29 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(id_text(column).cast("binary")) % modulus
 
 
+def bounded_sample(rows: DataFrame, bound: int, salt: str, column: str = "doc_id") -> DataFrame:
+    """Rows of distinct ids with the lowest 64-bit hashes, ``bound`` of them or all if there are fewer.
+
+    Hashes are counted by their leading bits, and those of the step in which the bound lies by the bits that follow.
+    """
+    digest = F.xxhash64(column, F.lit(salt))
+    chosen, prefix, left = F.lit(False), F.lit(True), bound
+    for used in range(0, 64, 12):
+        bits = min(12, 64 - used)
+        step = F.shiftrightunsigned(digest, 64 - used - bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        sizes = {r["s"]: r["n"] for r in rows.where(prefix).groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()}
+        for s in sorted(sizes):
+            if sizes[s] > left:
+                break
+            left -= sizes[s]
+        else:
+            return rows.where(chosen | prefix)
+        chosen, prefix = chosen | (prefix & (step < s)), prefix & (step == s)
+        if left == 0:
+            break
+    return rows.where(chosen)
+
+
 def utf8(column: str = "text") -> Column:
     """A text column as its UTF-8 bytes, which Python reads without decoding."""
     return F.col(column).cast("binary")

@@ -24,11 +24,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import id_text, per_row, short_batches, spaced_words, stored, utf8
+from touchline.llm.common import bounded_sample, id_text, per_row, short_batches, spaced_words, stored, utf8
 
 BITS = 16
 SAMPLE_ROWS = 20_000
-SAMPLE_BUCKETS = 4096
 #: The part of the documents to choose: about the part of the labelled ones that are good.
 FRACTION = 0.85
 SHARPNESS = 20.0
@@ -73,14 +72,9 @@ def dense(counts: DataFrame) -> np.ndarray:
 
 
 def targets_of(labels: DataFrame) -> DataFrame:
-    """doc_id of good texts, at most ``SAMPLE_ROWS``: the leading buckets of a hash that hold no more."""
+    """doc_id of good texts, at most ``SAMPLE_ROWS``: those with the lowest hashes."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(SAMPLE_BUCKETS)))
-    counts = {r["bucket"]: r["count"] for r in good.groupBy("bucket").count().collect()}
-    upto, total = 0, 0
-    while upto < SAMPLE_BUCKETS and total + counts.get(upto, 0) <= SAMPLE_ROWS:
-        total, upto = total + counts.get(upto, 0), upto + 1
-    return good.where(F.col("bucket") < upto).select("doc_id")
+    return bounded_sample(good, SAMPLE_ROWS, "target")
 
 
 def log_ratio(documents: DataFrame, labels: DataFrame) -> np.ndarray:

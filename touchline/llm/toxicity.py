@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import alnum_words, id_remainder, per_row, short_batches, stored, utf8
+from touchline.llm.common import alnum_words, bounded_sample, id_remainder, per_row, short_batches, stored, utf8
 
 BITS = 22
 #: The bound on labelled rows to learn from.
 SAMPLE_ROWS = 24_000
-SAMPLE_BUCKETS = 4096
 ROUNDS = 4
 
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
@@ -133,14 +132,8 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def sample_of(labels: DataFrame) -> DataFrame:
-    """At most ``SAMPLE_ROWS`` labels: the leading buckets of a hash of doc_id that together hold no more."""
-    labels = labels.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(SAMPLE_BUCKETS)))
-    counts = {r["bucket"]: r["n"] for r in labels.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    upto, total = 0, 0
-    while upto < SAMPLE_BUCKETS and total + counts.get(upto, 0) <= SAMPLE_ROWS:
-        total += counts.get(upto, 0)
-        upto += 1
-    return labels.where(F.col("bucket") < upto).drop("bucket")
+    """At most ``SAMPLE_ROWS`` labels, those with the lowest hashes of doc_id."""
+    return bounded_sample(labels, SAMPLE_ROWS, "toxicity")
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
