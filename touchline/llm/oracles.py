@@ -131,4 +131,101 @@ select query_id, cast(rank as integer) as rank, vec_id, coalesce(score, 0) as sc
   select *, row_number() over (partition by uid order by score desc, vec_id) as rank from s) where rank <= 10
 """
 
-ORACLES = {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_mixing": OP5, "op6_chat": OP6, "op9_cover_tree": OP9}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = rf"""
+with doc as (
+  select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER.format('text')}, '{_TERM}') as w
+  from documents where text is not null
+), item as (
+  select row_number() over () as iid, item_id, regexp_extract_all({_LOWER.format('text')}, '{_TERM}') as w
+  from benchmark where text is not null
+), asked as (select iid, t, count(*) as c from (select iid, unnest(w) as t from item) group by iid, t),
+total as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_terms from doc where len(w) > 0),
+held as (
+  select rid, t, count(*) as tf from (select rid, unnest(w) as t from doc) where t in (select t from asked) group by rid, t
+), weight as (
+  select t, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double)) as bigint) as w
+  from (select t, count(*) as df from held group by t), total
+), size as (
+  select rid, doc_id, 75 + (25 * len(w) * n_docs) // n_terms as m from doc, total where len(w) > 0
+), score as (
+  select iid, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from asked join held using (t) join weight using (t) join size using (rid) group by iid, rid, doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select *, row_number() over (partition by iid order by score desc, doc_id nulls last) as rank from score where score > 0
+) join item using (iid) where rank <= 20
+"""
+
+OP12 = """
+with doc as (
+  select row_number() over () as rid, doc_id, coalesce(encode(text), ''::blob) as b from documents
+), start as (
+  select rid, p, md5(b[p:p + 199]) as g
+  from (select rid, b, unnest(range(1, octet_length(b) - 198)) as p from doc where octet_length(b) >= 200)
+), hit as (
+  select rid, p from (select rid, p, count(*) over (partition by g) as n from start) where n > 1
+), run as (
+  select rid, min(p) as a, max(p) + 200 as e from (
+    select rid, p, sum(fresh) over (partition by rid order by p) as r from (
+      select rid, p, case when p > lag(p) over (partition by rid order by p) + 200 then 1 else 0 end as fresh from hit))
+  group by rid, r
+), gap as (
+  select rid, a, e, coalesce(lag(e) over (partition by rid order by a), 1) as since from run
+), cut as (
+  select rid, sum(e - a) as n_removed, count(*) as n_spans, max(e) as last,
+         string_agg(hex(b[since:a - 1]), '' order by a) as head
+  from gap join doc using (rid) group by rid
+)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(case when cut.rid is null then b else unhex(head || hex(b[last:octet_length(b)])) end) as kept_sha256
+from doc left join cut using (rid)
+"""
+
+_STEP = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
+_CRC = "lambda c, x: xor(c // 256, crc[cast(xor(c, x) % 256 as integer) + 1])"
+
+OP13 = rf"""
+with recursive byte as (
+  select i, 0 as k, i::bigint as c from range(256) t(i)
+  union all
+  select i, k + 1, {_STEP} from byte where k < 8
+), tab as (select list(c order by i) as crc from byte where k = 8),
+run as (
+  select coalesce(cast(doc_id as varchar), '') || ':' || r as s, r, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-zÀ-ÿ]+')) as r
+    from documents where text is not null) group by doc_id, r
+), hashed as (
+  select r, n, xor(list_reduce(
+    list_transform(range(1, octet_length(encode(s)) + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::bigint),
+    {_CRC}, 4294967295::bigint), 4294967295::bigint) as h
+  from run, tab
+), word as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 97 = 0 then substr(r, 1, cast(h % length(r) as integer)) || substr(r, cast(h % length(r) as integer) + 2)
+                else r end as word, n from hashed)
+  where length(word) >= 5 group by word having sum(n) >= 3
+), less as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as s
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from word)
+), pair as (
+  select a.word, b.word as near, b.n as near_n from less a join less b on a.s = b.s and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from less a join word b on a.s = b.word
+  union select b.word, a.word, a.n from less a join word b on a.s = b.word
+), best as (
+  select word, count(*) as n_near, max(near_n) as best_n, arg_min(near, (-near_n, near)) as near from pair group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near,
+         case when best_n >= 2 * w.n then near end as form, case when best_n >= 2 * w.n then best_n end as form_n
+  from word w left join best b on b.word = w.word
+), chain as (
+  select word, coalesce(form, word) as stop, 0 as d from formed
+  union all
+  select c.word, f.form, d + 1 from chain c join formed f on f.word = c.stop where f.form is not null
+), ending as (select word, arg_max(stop, d) as root from chain group by word)
+select f.word, f.form, e.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from formed f join ending e on e.word = f.word
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_mixing": OP5, "op6_chat": OP6, "op9_cover_tree": OP9, "op11_bitsliced": OP11, "op12_suffixes": OP12, "op13_spelling": OP13}

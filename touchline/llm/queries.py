@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import (
+    bitsliced,
     chat,
     covertree,
     decontamination,
     jaccard,
     lattice,
     mixing,
+    repeats,
     resampling,
     rollups,
+    spelling,
     surrogates,
     toxicity,
 )
@@ -69,6 +72,18 @@ def op10_rollups(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.maintained(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op11_bitsliced(spark: SparkSession, sf: str) -> DataFrame:
+    return bitsliced.ranked(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+def op12_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digests(read(spark, sf, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(read(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,5 +102,8 @@ QUERIES = {
     "op8_resampling": op8_resampling,
     "op9_cover_tree": op9_cover_tree,
     "op10_rollups": op10_rollups,
+    "op11_bitsliced": op11_bitsliced,
+    "op12_suffixes": op12_suffixes,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
