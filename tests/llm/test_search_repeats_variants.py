@@ -146,7 +146,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group_bytes):
     monkeypatch.setattr(repeats, "GROUP_BYTES", group_bytes)
     monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
     monkeypatch.setattr(repeats, "STRETCH", 1000)
-    monkeypatch.setattr(repeats, "PIECE", 64)
+    monkeypatch.setattr(repeats, "PIECE", 8)
     rows = passages(random.Random(8))
     found = repeats.digests(docs(spark, rows), window=20).collect()
     assert sorted(map(tuple, found), key=repr) == brute_repeats(rows, 20)

@@ -33,8 +33,8 @@ from touchline.llm.suffixes import suffix_arrays
 WINDOW = 200
 #: Lengths of the strings by whose least hash windows are dealt, as shares of the window.
 LEVELS = (0.32, 0.75, 0.95, 1.0)
-#: Window starts that are hashed in one go, and those of one piece at most.
-STRETCH, PIECE = 1 << 20, 4096
+#: Window starts that are hashed in one go, and those after which a run of periodic text is cut.
+STRETCH, PIECE = 1 << 20, 64
 #: Bytes of the classes of one key that are put into one suffix array, and of all arrays that are built in step.
 GROUP_BYTES, BATCH_BYTES = 16_384, 1 << 21
 
@@ -78,10 +78,11 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(onward[:n], upto[width - 1 : width - 1 + n])
 
 
-def pieces(texts: list[bytes], window: int, k: int, hashes: Hashes) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(text, begin, end, key, again) of every piece: the windows that begin from ``begin`` to ``end - window`` share ``key``.
+def pieces(texts: list[bytes], window: int, k: int, hashes: Hashes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns text, begin, end, key and again of all pieces: the windows that begin from ``begin`` to ``end - window`` share ``key``.
 
-    ``again`` tells whether the string of that hash occurs twice in the piece, as it must for a window to occur twice in it.
+    ``again`` tells whether the string of that hash occurs twice, as it must for a window to occur twice in a piece. In such
+    periodic text a long run is cut behind the string, so that its pieces are alike.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     whole = np.frombuffer(b"".join(texts), np.uint8)
@@ -100,15 +101,23 @@ def pieces(texts: list[bytes], window: int, k: int, hashes: Hashes) -> Iterator[
         new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)
         heads = np.flatnonzero(new)
         run = np.diff(np.append(heads, len(starts)))
-        if run.max() > PIECE:  # periodic text
-            heads = np.concatenate([np.arange(h, h + r, PIECE) for h, r in zip(heads, run, strict=True)])
-            run = np.diff(np.append(heads, len(starts)))
         spans = run + window - k
-        strings = np.arange(spans.sum()) + np.repeat(starts[heads] - begin - np.cumsum(spans) + spans, spans)
-        times = np.add.reduceat(values[strings] == np.repeat(keys[heads], spans), np.cumsum(spans) - spans, dtype=np.int32)
+        offsets = np.cumsum(spans) - spans
+        held = values[np.arange(spans.sum()) + np.repeat(starts[heads] - begin - offsets, spans)] == np.repeat(keys[heads], spans)
+        again = np.add.reduceat(held, offsets, dtype=np.int64) > 1
+        cuts = []
+        for r in np.flatnonzero(again & (run > PIECE)):
+            last = 0
+            for at in np.flatnonzero(held[offsets[r] : offsets[r] + run[r] - 1]) + 1:
+                if at - last >= PIECE:
+                    cuts.append(heads[r] + at)
+                    last = at
+        if cuts:
+            of = np.repeat(again, run)
+            heads = np.sort(np.concatenate([heads, cuts]))
+            run, again = np.diff(np.append(heads, len(starts))), of[heads]
         own = starts[heads] - firsts[text[heads]]
-        columns = (text[heads], own, own + run + window - 1, keys[heads].view(np.int64), times > 1)
-        yield from zip(*(c.tolist() for c in columns), strict=True)
+        yield text[heads], own, own + run + window - 1, keys[heads].view(np.int64), again
 
 
 def content_hash(content: bytes) -> int:
@@ -146,10 +155,11 @@ def text_pieces(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            uids, texts = batch.column("uid").to_pylist(), batch.column("text").to_pylist()
-            found = [(uids[t], b, e, key, content_hash(texts[t][b:e]), a) for t, b, e, key, a in pieces(texts, window, k, hashes)]
-            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            yield _batch(found, ["uid", "begin", "end", "key", "hash", "again"], kinds)
+            uids, texts = batch.column("uid"), batch.column("text").to_pylist()
+            for text, begin, end, key, again in pieces(texts, window, k, hashes):
+                held = [content_hash(texts[t][b:e]) for t, b, e in zip(text.tolist(), begin.tolist(), end.tolist(), strict=True)]
+                columns = [uids.take(pa.array(text)), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(key), pa.array(held, pa.int64()), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "begin", "end", "key", "hash", "again"])
 
     rows = rows.where(F.octet_length("text") >= window).select("uid", "text")
     return rows.mapInArrow(run, "uid binary, begin int, end int, key long, hash long, again boolean")
@@ -281,9 +291,10 @@ def dealt_again(classes: DataFrame, window: int, share: float) -> DataFrame:
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "hash", "n", "content")), strict=True))
             found = []
-            for t, begin, end, key, _ in pieces([r[3] for r in rows], window, k, hashes):
-                content = rows[t][3][begin:end]
-                found.append((rows[t][0], rows[t][1], begin, rows[t][2], key, content_hash(content), content))
+            for columns in pieces([r[3] for r in rows], window, k, hashes):
+                for t, begin, end, key, _ in zip(*(c.tolist() for c in columns), strict=True):
+                    content = rows[t][3][begin:end]
+                    found.append((rows[t][0], rows[t][1], begin, rows[t][2], key, content_hash(content), content))
             yield _batch(found, names, kinds)
 
     schema = "in_key long, in_hash long, shift int, n long, key long, hash long, content binary"
@@ -309,7 +320,7 @@ def class_spans(classes: DataFrame, window: int, level: int = 1) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     """uid and the spans (they may overlap) of its text that are covered by repeated windows."""
-    places = stored(repeated_pieces(text_pieces(rows, window)), "pieces")
+    places = stored(repeated_pieces(stored(text_pieces(rows, window), "all-pieces")), "pieces")
     classes = places.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("uid", "begin", "end")).alias("at"))
     classes = classes.select("key", "hash", "n", "at.*").withColumn("bytes", F.col("end") - F.col("begin"))
     with_content = stored(contents(with_size(classes, "bytes").drop("bytes"), rows, window), "contents")
