@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import table_inputs as E
@@ -42,6 +44,7 @@ from touchline.schema import (
     MESSAGE_BYTES_BUCKETS,
     QUERY_SECONDS_BUCKETS,
     REQUEST_SECONDS_BUCKETS,
+    TEAM_IDS,
 )
 from touchline.session import configure, new_run_dir
 from touchline.sources.tables import (
@@ -55,8 +58,21 @@ from touchline.sources.tables import (
 from touchline.sources.topics import append_to_topic, read_topic, read_topic_stream
 from touchline.streaming.consumer import Outputs, start_consumer
 from touchline.streaming.ingest import start_ingest
-from touchline.streaming.live import latest_cells, live_minute_cells, start_live_cells
-from touchline.streaming.sinks import distinct_match_events_sink, match_events_sink, parquet_batches
+from touchline.streaming.live import (
+    counted_cells,
+    fold_deltas,
+    latest_cells,
+    live_minute_cells,
+    start_cell_deltas,
+    start_live_cells,
+)
+from touchline.streaming.sinks import (
+    committed_match_events,
+    committed_sink,
+    distinct_match_events_sink,
+    match_events_sink,
+    parquet_batches,
+)
 
 ONE_MATCH = "match-2024-01-05-1"
 SEED = 7
@@ -498,7 +514,7 @@ def _published(spark, sf, run, parts, keep):
     """Every event in a topic of ``parts`` appends, newest part first; a part takes the events that ``keep`` names."""
     rows = E.valid_events(spark, sf, "seq")
     for part in reversed(range(parts)):
-        append_to_topic(publish_rows(rows.filter(keep(part))).coalesce(1), f"{run}/topic/{parts - part}")
+        append_to_topic(publish_rows(rows.filter(keep(part))), f"{run}/topic/{parts - part}")
 
 
 def stream_two_writers(spark, sf):
@@ -529,7 +545,7 @@ def stream_audit_counters(spark, sf):
     """Rows and batches by outcome, from the audit that a consumer wrote of good and unreadable rows."""
     run = new_run_dir(spark, "audit")
     documents = E.raw_documents(spark, sf).select(F.col("value").cast("binary").alias("value"))
-    append_to_topic(documents.coalesce(1), f"{run}/topic")
+    append_to_topic(documents, f"{run}/topic")
     outputs = Outputs(
         match_events_sink(f"{run}/table"),
         audit=parquet_batches(f"{run}/audit"),
@@ -540,6 +556,64 @@ def stream_audit_counters(spark, sf):
     return rows.groupBy("outcome").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"))
 
 
+def _batches(rows, parts):
+    """The rows dealt to batches by a hash of the event, all dates in each."""
+    return [rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == part) for part in range(parts)]
+
+
+def committed_repeat(spark, sf):
+    """Batches stored under a commit log while a reader holds an earlier version; two of them come again."""
+    table = committed_match_events(spark, new_run_dir(spark, "committed"))
+    batches = _batches(storage_rows(E.valid_events(spark, sf)), 3)
+    readers = []
+    for batch in (0, 1, 0, 1, 2):
+        table.append(batches[batch], "one", batch)
+        readers.append(table.read())
+    # Rows of the version after the first batch, of that after its repeat, and of the last.
+    seen = [r.groupBy("event_type").agg(F.count("*").alias(n)) for r, n in zip(readers[::2], ("first", "again", "last"))]
+    return seen[2].join(seen[0], "event_type", "left").join(seen[1], "event_type", "left").select(
+        "event_type", F.col("last").alias("events"), (F.coalesce("first", F.lit(0)) <= F.coalesce("again", F.lit(0))).alias("grown")
+    )
+
+
+def compacted_dates(spark, sf):
+    """Every date in four batches, compacted while a fifth is stored: rows and files of each date."""
+    table = committed_match_events(spark, new_run_dir(spark, "compacted"))
+    batches = _batches(storage_rows(E.valid_events(spark, sf)), 5)
+    for batch in range(4):
+        table.append(batches[batch], "one", batch)
+    table.compact()
+    version = table.append(batches[4], "one", 4)
+    files = [(date, len(table.manifest(version, date))) for date in sorted(version.dates)]
+    counted = table.read(version=version).groupBy("event_date").agg(F.count("*").alias("events"))
+    held = spark.createDataFrame(files, "date string, files int")
+    return counted.join(F.broadcast(held), F.col("event_date").cast("string") == F.col("date")).select(
+        "event_date", "events", (F.col("files") <= 2).alias("packed")
+    )
+
+
+def stream_distinct_committed(spark, sf):
+    """As stream_distinct, the repeats looked for only in files that may hold them."""
+    run = new_run_dir(spark, "distinct-committed")
+    week = F.least(F.floor(F.dayofmonth("timestamp") / 8), F.lit(3))
+    _published(spark, sf, run, 4, lambda part: (week == part) | (F.col("seq") % 2 == 0))
+    topic = read_topic_stream(spark, f"{run}/topic", max_files_per_trigger=2)
+    outputs = Outputs(committed_sink(f"{run}/table", distinct=True))
+    _drained(start_consumer(topic, outputs, f"{run}/ckpt", available_now=True))
+    return M.events_by_type(committed_match_events(spark, f"{run}/table").read())
+
+
+def stream_cell_deltas(spark, sf):
+    """Live minute counts without state: newest week first in several batches, changes folded half way."""
+    run = new_run_dir(spark, "deltas")
+    week = F.least(F.floor(F.dayofmonth("timestamp") / 8), F.lit(3))
+    _published(spark, sf, run, 4, lambda part: week == part)
+    events = decode_envelopes(read_topic_stream(spark, f"{run}/topic", max_files_per_trigger=2)).filter(~F.col("parse_error"))
+    _drained(start_cell_deltas(events, f"{run}/cells", f"{run}/ckpt", available_now=True))
+    fold_deltas(spark, f"{run}/cells", before="2024-01-16")
+    return counted_cells(spark, f"{run}/cells")
+
+
 def clustered_table(spark, sf):
     """match_events rewritten by date and match, all of it read back."""
     path = new_run_dir(spark, "clustered")
@@ -562,18 +636,20 @@ def raw_text_errors(spark, sf):
 
 
 def roster_scan(spark, sf):
-    """A roster as a CSV file, read back."""
+    """The rosters of all teams as CSV files, read back team by team."""
     path = new_run_dir(spark, "roster")
-    E.roster(spark, sf).filter("team_id = 1").select("id", "name", F.upper("position").alias("position")).write.csv(path, header=True)
-    return read_roster(spark, path, 1)
+    players = E.roster(spark, sf).select("team_id", "id", "name", F.upper("position").alias("position"))
+    players.write.partitionBy("team_id").csv(path, header=True)
+    teams = [read_roster(spark, f"{path}/team_id={team}", team) for team in TEAM_IDS]
+    return reduce(DataFrame.unionByName, teams)
 
 
 def ledger_scan(spark, sf):
     """A stored ledger read back oldest first, each entry with its place in that order."""
     path = new_run_dir(spark, "ledger")
     E.ledger(spark, sf).write.parquet(path)
-    rows = read_ledger(spark, path)
-    return rows.select("id", "retry_count", F.row_number().over(Window.orderBy("created_at", "id")).alias("place"))
+    placed = L.with_place(read_ledger(spark, path))
+    return placed.select("id", "retry_count", F.col("place").cast("int").alias("place"))
 
 
 def null_rows_skipped(spark, sf):
@@ -663,6 +739,10 @@ QUERIES = {
     "stream_distinct": stream_distinct,
     "stream_two_writers": stream_two_writers,
     "stream_audit_counters": stream_audit_counters,
+    "stream_distinct_committed": stream_distinct_committed,
+    "stream_cell_deltas": stream_cell_deltas,
+    "committed_repeat": committed_repeat,
+    "compacted_dates": compacted_dates,
     "clustered_table": clustered_table,
     "topic_roundtrip": topic_roundtrip,
     "raw_text_errors": raw_text_errors,
@@ -680,8 +760,10 @@ try:
     from touchline.llm.queries import ORACLES as LLM_ORACLES
     from touchline.llm.queries import QUERIES as LLM_QUERIES
 except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith("touchline.llm"):
+    # The subpackage itself, or a library that only it needs.
+    if (missing.name or "").startswith("touchline") and not missing.name.startswith("touchline.llm"):
         raise
+    warnings.warn(f"the queries for training text are left out: {missing}", stacklevel=2)
     LLM_ORACLES, LLM_QUERIES = {}, {}
 
 

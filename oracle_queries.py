@@ -351,6 +351,12 @@ ORACLES = {
         select match_id, minute, event_type, count(*) as event_count, min(ts) as first_event_at,
           max(ts) as last_event_at from me group by 1, 2, 3""",
     "stream_distinct": f"with {ME} select match_id, event_type, count(*) as event_count from me group by 1, 2",
+    "stream_distinct_committed": f"with {ME} select match_id, event_type, count(*) as event_count from me group by 1, 2",
+    "stream_cell_deltas": f"""with {ME}
+        select match_id, minute, event_type, cast(count(*) as bigint) as event_count, min(ts) as first_event_at,
+          max(ts) as last_event_at from me group by 1, 2, 3""",
+    "committed_repeat": f"with {ME} select event_type, count(*) as events, true as grown from me group by 1",
+    "compacted_dates": f"with {ME} select cast(ts as date) as event_date, count(*) as events, true as packed from me group by 1",
     "stream_two_writers": f"with {ME} select match_id, event_type, count(*) as event_count from me group by 1, 2",
     "stream_audit_counters": f"""with {CHECKED}
         select case when kind in (0, 3, 5, 6, 7, 9) then 'parse_error' else 'success' end as outcome,
@@ -359,7 +365,7 @@ ORACLES = {
     "topic_roundtrip": f"with {ME} select {STORED} from me",
     "raw_text_errors": f"""with {CHECKED}
         select error_field, error_message, count(*) as documents from checked group by 1, 2""",
-    "roster_scan": f"with {PLAYERS} select team_id, id, name, position from players where team_id = 1",
+    "roster_scan": f"with {PLAYERS} select team_id, id, name, position from players",
     "ledger_scan": f"""with {LEDGER}
         select id, retry_count, cast(row_number() over (order by created_at, id) as integer) as place from ledger""",
     "null_rows_skipped": f"with {ME} select event_id from me where seq % 3 <> 0",

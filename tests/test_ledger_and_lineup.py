@@ -100,3 +100,14 @@ def test_roster_scan(spark, tmp_path):
     rows = read_roster(spark, str(path), 2)
     assert {tuple(r) for r in rows.collect()} == {(2, "007", "Ann Ó Example", "gk"), (2, "8", "Bob Example", "def")}
     assert with_position(rows, "gk").count() == 1
+
+
+def test_places_follow_the_order_across_ranges(spark):
+    from touchline.operators.ledger import with_place
+
+    rows = [(i, f"2024-01-{1 + (i * 7) % 5:02d} 00:00:00") for i in range(200)] + [(500, None)]
+    ledger = spark.createDataFrame(rows, "id bigint, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    places = {r["id"]: r["place"] for r in with_place(ledger).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    assert [places[r[0]] for r in want] == list(range(1, 202))
+    assert with_place(ledger.limit(0)).collect() == []

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from touchline.operators.newest import newest
+from touchline.operators import percentiles as P
 from touchline.operators.percentiles import bucket_path, exact_percentiles, latency_percentiles, value_bucket
 from touchline.operators.request_stats import error_rate, histogram, labelled_counts, path_template
 
@@ -188,3 +189,50 @@ def test_histogram_agrees_with_counting(spark):
     counts = Counter(values)
     for row in rows[:-1]:
         assert row["bucket_count"] == sum(n for v, n in counts.items() if v <= int(row["le"]))
+
+
+def skewed(spark):
+    rng = random.Random(21)
+    keys = ["hot" if i % 3 == 0 else f"k{i % 5}" for i in range(9000)]
+    return keys, [round(rng.expovariate(0.05), rng.choice([0, 6])) for _ in keys]
+
+
+def held(df, keys, values, wanted):
+    for row in exact_percentiles(df, "duration_ms", wanted, by=["key"]).collect():
+        mine = [v for v, k in zip(values, keys) if k == row["key"]]
+        for name, p in wanted.items():
+            assert row[name] == pytest.approx(expected(mine, p), abs=1e-9)
+
+
+WANTED = {"p0": 0, "p25": 25, "p50": 50, "p99": 99, "p100": 100}
+
+
+def test_sketched_percentiles_scan_twice_and_open_few_values(spark, monkeypatch):
+    keys, values = skewed(spark)
+    df = samples(spark, values, keys)
+    made = {}
+    stored = P._stored
+    monkeypatch.setattr(P, "_stored", lambda rows, name: made.setdefault(name, stored(rows, name)))
+    monkeypatch.setattr(P, "SMALL_GROUP", 0)
+    held(df, keys, values, WANTED)
+    # Two scans are all that reads the rows: what follows reads the stored counts.
+    assert set(made) == {"brackets", "cells", "ranked"}
+    assert made["cells"].count() < 0.2 * len(values)
+
+
+@pytest.mark.parametrize(("ordered", "error"), [(0, 0.01), (0, 1e-9), (10**6, 1e-9)])
+def test_many_values_and_missed_brackets_stay_exact(spark, monkeypatch, ordered, error):
+    keys, values = skewed(spark)
+    monkeypatch.setattr(P, "SMALL_GROUP", 0)
+    monkeypatch.setattr(P, "ORDERED_VALUES", ordered)
+    monkeypatch.setattr(P, "SKETCH_ERROR", error)
+    held(samples(spark, values, keys), keys, values, WANTED)
+
+
+def test_infinite_values_and_nan_have_their_ranks(spark):
+    values = [float("-inf")] * 300 + [float(i) for i in range(1200)] + [float("inf")] * 400 + [float("nan")] * 101
+    # 2,001 values: the ranks are 100, 1000, 1600 and 1980.
+    row = exact_percentiles(samples(spark, values), "duration_ms", {"p5": 5, "p50": 50, "p80": 80, "p99": 99}).first()
+    assert (row["p5"], row["p50"], row["p80"]) == (float("-inf"), 700.0, float("inf")) and math.isnan(row["p99"])
+    only = exact_percentiles(samples(spark, [float("nan")] * 5), "duration_ms", {"p50": 50}).first()
+    assert math.isnan(only["p50"])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.schema import DEFAULT_FAILURE_REASON, MAX_RETRIES, SUCCESS_CODES
+from touchline.session import new_run_dir
 
 RESENT, FAILED, SKIPPED = "resent", "failed", "skipped"
 
@@ -16,6 +17,23 @@ def oldest_first(ledger: DataFrame) -> DataFrame:
     return ledger.orderBy("created_at", "id")
 
 
+def with_place(ledger: DataFrame) -> DataFrame:
+    """The entries with their place, from 1, when the oldest comes first.
+
+    Ranges of entries are numbered side by side; only the sizes of the ranges meet in one task. The ranges are stored
+    first, because dealing them out again might draw other bounds.
+    """
+    path = f"{new_run_dir(ledger.sparkSession, 'places')}/ranges"
+    ranges = ledger.repartitionByRange("created_at", "id").withColumn("_range", F.spark_partition_id())
+    ranges.write.parquet(path)
+    ranges = ledger.sparkSession.read.schema(ranges.schema).parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("created_at", "id"))
+    return ranges.join(starts, "_range").withColumn("place", F.col("_start") + inside).drop("_range", "_start")
+
+
 def eligible(ledger: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Entries that may still be tried."""
     return ledger.filter(F.col("retry_count") < max_retries)

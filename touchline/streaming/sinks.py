@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.schema import MATCH_EVENTS
+from touchline.sources.commits import CommittedTable
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -77,6 +78,24 @@ def distinct_match_events_sink(path: str, writer: str | None = None) -> BatchSin
     return write_new
 
 
+def committed_match_events(spark: SparkSession, path: str) -> CommittedTable:
+    """The match_events table with a commit log."""
+    return CommittedTable(spark, path, MATCH_EVENTS, id_column="event_id", cluster_by=("match_id", "timestamp"))
+
+
+def committed_sink(path: str, writer: str | None = None, distinct: bool = False) -> BatchSink:
+    """Batches of a match_events table whose readers see each batch whole or not at all, repeated ones included.
+
+    ``distinct`` leaves out events stored already under their date; only files that may hold one are read.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        table = committed_match_events(rows.sparkSession, path)
+        (table.append_new if distinct else table.append)(rows, writer_of(rows, writer), batch_id)
+
+    return write
+
+
 def _stored_ids(rows: DataFrame, path: str) -> DataFrame | None:
     schema = f"event_id string, event_date {MATCH_EVENTS['event_date'].dataType.simpleString()}, writer string, batch_id long"
     try:
