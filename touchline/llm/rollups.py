@@ -14,6 +14,7 @@ them insert. Rows repeated in a batch's inserts count each; of its revisions of
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary cuts a text before merging: contractions, words with a leading blank, numbers, other runs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VERSION = "byte_bpe_50k/1"
+LONG_BLANKS = re.compile(r"\s{4096}")
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 GROUP = ["source", "lang", "tokenizer"]
@@ -41,6 +43,20 @@ _TABLES = {"ledger": LEDGER, "deltas": DELTAS, "commits": COMMITS}
 # -- counting
 
 
+def tokens_of(encoding, text: str) -> int:
+    """Tokens of a text. The encoder's own cutting of the text gives up on very long runs of white space, so a text that
+    holds one is cut here, by the same pattern in an engine that takes them in a linear scan, and encoded piece by piece."""
+    if not LONG_BLANKS.search(text):
+        return len(encoding.encode_ordinary(text))
+    import regex
+
+    return sum(pieces_tokens(encoding, m[0]) for m in regex.finditer(PATTERN, text))
+
+
+def pieces_tokens(encoding, piece: str) -> int:
+    return len(encoding._encode_single_piece(piece))
+
+
 def counted(texts: DataFrame, columns: dict[str, str], path: str = VOCABULARY) -> DataFrame:
     """``texts`` with a token count for each text column: ``columns`` maps new names to text columns, which are left out."""
     spark = texts.sparkSession
@@ -59,7 +75,7 @@ def counted(texts: DataFrame, columns: dict[str, str], path: str = VOCABULARY) -
             made = []
             for text in columns.values():
                 values = batch.column(text).to_pylist()
-                made.append(pa.array([len(encoding.encode_ordinary(v)) if v else 0 for v in values], pa.int64()))
+                made.append(pa.array([tokens_of(encoding, v) if v else 0 for v in values], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + made, [f.name for f in kept] + list(columns))
 
     return texts.mapInArrow(run, schema)
