@@ -94,6 +94,14 @@ def bounded_sample(rows: DataFrame, bound: int, salt: str, column: str = "doc_id
     return rows.where(chosen)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to clash with no column (in any case of letters)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def utf8(column: str = "text") -> Column:
     """A text column as its UTF-8 bytes, which Python reads without decoding."""
     return F.col(column).cast("binary")

@@ -6,16 +6,15 @@ stops at ``EPOCHS`` times its source's size and the excess goes to the others by
 on the line of cumulative targets. The r-th slot of a source takes block r of its documents, laid end to
 end in a shuffled order; past the last block the source starts over.
 
-``mixture`` counts whole slots, as its SQL does, so a source's last block and its number of slots make it miss its target
-by some blocks. ``documents_taken`` does not: a source's documents are one stream of words that starts over when it
-ends, its slots take that stream's words in order, and its last slot is trimmed or extended to the rounded target.
-What it takes of a document follows from the target alone, so small sources are not lost.
+A source takes its rounded target: a last block of fewer words counts as these, the slot that reaches the target is cut
+there, slots beyond it stay empty, and if there are too few, the source's last slot takes the blocks that are left. Query and
+pipeline share this schedule.
 
 Nothing is ordered as a whole: documents are placed by hash bucket (sums of buckets first, then within a bucket), slots
 are ranked by chunk of the schedule, so that a source with a third of all rows is still spread over many tasks.
 
-Defined cases: null and empty texts have size 0 and are taken 0 times. A null source is a source. Slots beyond three
-times a source's blocks stay empty, so no document exceeds 3 times its size. Repeated rows take places of their own;
+Defined cases: null and empty texts have size 0 and are taken 0 times. A null source is a source. A target is at most three
+times a source's size, so no document exceeds 3 times its size. Repeated rows take places of their own;
 rows alike in doc_id, text and source are interchangeable. An empty table gives an empty mix. Other columns are ignored.
 """
 
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.common import SPACED_WORD, id_text, stored
+from touchline.llm.common import SPACED_WORD, free_name, id_text, stored
 
 EPOCHS = 3
 #: Words of a block. Shorter blocks follow the targets of small sources more closely.
@@ -135,51 +134,58 @@ def laid_out(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.drop("bucket", "first")
 
 
+def uses(sources: DataFrame) -> DataFrame:
+    """place, block, how often it is taken whole (rounds), and whether it is taken once more up to the source's rest."""
+    words, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    needs = sources.select(
+        "place",
+        "blocks",
+        F.floor(words / size).alias("whole"),
+        (F.floor(words / size) * F.col("blocks") + F.ceil(words % size / BLOCK)).alias("needed"),
+    )
+    slots = schedule(sources).select("place", "rank")
+    counts = slots.groupBy("place").agg(F.count("*").alias("n"))
+    # What the slots of a source leave of its target goes to its last one.
+    left = needs.join(counts, "place", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < needed")
+    left = left.select("place", F.explode(F.sequence("n", F.col("needed") - 1)).alias("rank"))
+    taking = slots.unionByName(left).join(needs, "place").where("rank < needed")
+    once_more = F.floor(F.col("rank") / F.col("blocks")) >= F.col("whole")
+    return taking.groupBy("place", (F.col("rank") % F.col("blocks")).alias("block")).agg(
+        F.count_if(~once_more).alias("rounds"), F.count_if(once_more).alias("again")
+    )
+
+
 def mixed(documents: DataFrame) -> DataFrame:
     """Every document with size, source_size, target and taken, and the key and copy that name its row."""
     rows = stored(placed(documents), "sizes")
     sources = stored(targets(rows), "targets")
-    uses = (
-        schedule(sources)
-        .join(sources.select("place", "blocks"), "place")
-        .where(F.col("rank") < EPOCHS * F.col("blocks"))
-        .groupBy("place", (F.col("rank") % F.col("blocks")).alias("block"))
-        .agg(F.count("*").alias("uses"))
-    )
     rows = laid_out(rows, sources)
     columns = ["doc_id", "source", "key", "copy", "size", "source_size", "target"]
     pieces = rows.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)))
     )
-    within = F.least("end", (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
+    low = F.greatest("start", F.col("block") * BLOCK)
+    high = F.least("end", (F.col("block") + 1) * BLOCK)
+    rest = F.round("target").cast("long") % F.col("source_size")
+    taken_of = (high - low) * F.col("rounds") + F.greatest(F.least(high, rest) - low, F.lit(0)) * F.col("again")
     taken = (
-        pieces.withColumn("within", within)
-        .join(uses, ["place", "block"], "left")
+        pieces.join(uses(sources), ["place", "block"], "left")
         .groupBy(*columns)
-        .agg(F.sum(F.col("within") * F.coalesce("uses", F.lit(0))).alias("taken"))
+        .agg(F.sum(F.coalesce(taken_of, F.lit(0))).cast("long").alias("taken"))
     )
     return taken.unionByName(rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
-def filled(documents: DataFrame) -> DataFrame:
-    """The rows of ``mixed``, but each source takes its rounded target: whole rounds, then its leading words once more."""
-    rows = stored(placed(documents), "sizes")
-    rows = laid_out(rows, stored(targets(rows), "targets"))
-    words, source_size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
-    rest = words % source_size
-    again = F.greatest(F.least("end", rest) - F.col("start"), F.lit(0))
-    taken = F.col("size") * F.floor((words - rest) / source_size) + again
-    columns = ["doc_id", "source", "key", "copy", "size", "source_size", "target"]
-    return rows.select(*columns, taken.cast("long").alias("taken"))
-
-
 def mixture(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     return mixed(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def documents_taken(documents: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with all their columns, their size in words and the words taken."""
+    """The documents that the mix takes, with all their columns, their size in words and the words taken.
+
+    The two are named size and taken, with underscores behind them if the documents have such columns.
+    """
     names = documents.columns
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     keyed = documents.select(
@@ -188,6 +194,7 @@ def documents_taken(documents: DataFrame) -> DataFrame:
         F.col("source").alias("of"),
     )
     numbered = F.row_number().over(W.partitionBy("key").orderBy(F.col("of").asc_nulls_last()))
-    taken = filled(documents).where("taken > 0").select("key", "copy", "size", "taken")
+    taken = mixed(documents).where("taken > 0").select("key", "copy", "size", "taken")
     rows = keyed.withColumn("copy", numbered).join(taken, ["key", "copy"])
-    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "size", "taken")
+    added = [F.col(c).alias(free_name(names, c)) for c in ("size", "taken")]
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], *added)

@@ -78,25 +78,14 @@ fill as (
   select source, place, s, words,
          case when turn < free_turn then cast(3 * s as double) else cast(weight * fw as double) / fg end as target
   from fill, free
-), line as (
-  select *, (upto - target) / words as low,
-         case when place = max(place) over () then 2.0 else upto / words end as high
-  from (select *, sum(target) over (order by place rows between unbounded preceding and current row) as upto from tgt)
-), slot as (
-  select x - floor(x) as at from (
-    select (i - i % 1048576) / 1048576.0::double * 0.607787409740351::double + (i % 1048576) * 0.6180339887498949::double as x
-    from (select unnest(range(cast(ceil(words / 32.0) as bigint))) as i from tot))
-), used as (
-  select place, count(slot.at) as slots from line left join slot on slot.at >= line.low and slot.at < line.high group by place
 ), laid as (
-  select d.doc_id, d.size, l.s, l.target, l.place,
-         cast(coalesce(sum(d.size) over (partition by l.place order by d.key rows between unbounded preceding and 1 preceding), 0) as bigint) as a
-  from doc d join line l on d.source is not distinct from l.source
+  select d.doc_id, d.size, t.s, t.target, cast(round(t.target) as bigint) as w,
+         cast(coalesce(sum(d.size) over (partition by t.place order by d.key rows between unbounded preceding and 1 preceding), 0) as bigint) as a
+  from doc d join tgt t on d.source is not distinct from t.source
 )
-select laid.doc_id, cast(size as bigint) as size, cast(laid.s as bigint) as source_size, target,
-       cast(coalesce(list_sum([
-         greatest(0, least(a + size, 32 * (slots - e * ((laid.s + 31) // 32))) - a) for e in [0, 1, 2]]), 0) as bigint) as taken
-from laid join used using (place)
+select doc_id, cast(size as bigint) as size, cast(s as bigint) as source_size, target,
+       cast(case when s = 0 then 0 else size * (w // s) + greatest(0, least(a + size, w % s) - a) end as bigint) as taken
+from laid
 """
 
 OP6 = r"""
