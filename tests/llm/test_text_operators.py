@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -436,3 +437,38 @@ def test_maintained_totals_equal_a_recount(spark):
         want[f"src{i % 3}"][1] += len(plain.encode_ordinary(text))
     assert {r["source"]: [r["documents"], r["tokens"]] for r in rows} == dict(want)
     assert rollups.maintained(docs(spark, []), labels).isEmpty()
+
+
+def test_very_long_runs_are_counted(spark):
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" * 2_000_000, "a" + " \n" * 50_000 + "!"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = {r["doc_id"]: r["n"] for r in rollups.counted(table, {"n": "text"}).collect()}
+    assert all(n > 0 for n in counts.values()) and counts[0] > 2
+
+
+def test_own_cutting_counts_like_the_encoder():
+    import base64
+
+    import regex
+    import tiktoken
+
+    lines = Path(rollups.VOCABULARY).read_bytes().splitlines()
+    ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line)}
+    encoding = tiktoken.Encoding("own", pat_str=rollups.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "Zé", " ", "  ", "\n", "\t", "12", "!?", "'s", "   ", "日本"], k=rng.randint(0, 60)))
+        pieces = [m[0] for m in regex.finditer(rollups.PATTERN, text)]
+        assert sum(rollups.pieces_tokens(encoding, p) for p in pieces) == len(encoding.encode_ordinary(text))
+
+
+def test_the_bound_on_learning_rows_holds_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
+    table = spark.createDataFrame([(i % 40, f"text {i} of some words") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    kept = toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: seen.append((name, kept(df, name))) or seen[-1][1])
+    toxicity.train(table, labels)
+    features = dict(seen)["features"]
+    assert 0 < features.count() <= 10 == features.select("doc_id").distinct().count()

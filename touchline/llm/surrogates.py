@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.common import stored
+from touchline.llm.common import free_name, stored
 
 KEY = "surrogates-1"
 #: Draws after which a fixed form's space counts as full, and its entities exchange their own values.
@@ -303,7 +303,10 @@ def replacements(rows: DataFrame) -> DataFrame:
 
 
 def pseudonymised(documents: DataFrame) -> DataFrame:
-    """The documents, all their columns, with surrogates in ``text``, and ``n_entities``."""
+    """The documents, all their columns, with surrogates in ``text``, and last ``n_entities``.
+
+    If the documents have a column of that name, the added one has underscores behind it.
+    """
     names = documents.columns
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     digest = F.md5(F.col("text").cast("binary"))
@@ -332,7 +335,7 @@ def pseudonymised(documents: DataFrame) -> DataFrame:
     rest = rows.where(~F.coalesce(holds, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
     both = done.drop("digest", "worn").unionByName(rest)
     columns = [F.col("text" if i == at_text else f"k{i}").alias(c) for i, c in enumerate(names)]
-    return both.select(*columns, "n_entities")
+    return both.select(*columns, F.col("n_entities").alias(free_name(names, "n_entities")))
 
 
 def surrogate_documents(documents: DataFrame) -> DataFrame:
