@@ -33,14 +33,19 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; n_chars follows the text."""
+    """Documents with surrogates for personal data; n_chars, if there is one, follows the text."""
     done = pseudonymised(docs)
-    changed = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", changed).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col(done.columns[-1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        done = done.withColumn("n_chars", changed)
+    return done.select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size in words and the words taken."""
+    """Documents that the mix takes, with their size in words and the words taken.
+
+    The two columns are named size and taken, with underscores behind them where documents have such columns.
+    """
     return documents_taken(docs)
 
 
