@@ -110,8 +110,7 @@ def exact_percentiles(
     keys = list(by)
     source = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
     cells = _stored(_bracketed(source, keys, percentiles), "cells")
-    widest = cells.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if widest <= ORDERED_VALUES:
+    if cells.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > ORDERED_VALUES).isEmpty():
         ranked = _opened(cells, keys, [], "_value", _positions(percentiles))
     else:
         ranked = _opened_by_buckets(cells, keys, percentiles)
