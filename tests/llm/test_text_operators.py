@@ -66,6 +66,35 @@ def test_contamination_equals_brute_force(spark, monkeypatch, limit):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == {i: brute_contamination(t, items) for i, t in enumerate(texts)}
 
 
+def test_text_ids_long_items_and_common_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 32)
+    monkeypatch.setattr(decontamination, "COMPARED", 50)
+    rng = random.Random(9)
+    long_item = " ".join(f"w{rng.randint(0, 40)}" for _ in range(200))
+    same = "in the middle of it"
+    items = [("long", long_item), ("x-1", "z " * 60), ("x-2", "z " * 9), ("five", same), ("ten", "q " * 10)]
+    items += [(f"m{i}", " ".join(rng.choices("abc", k=6)) + f" {same} " + " ".join(rng.choices("abc", k=6))) for i in range(60)]
+    cut = long_item.split()
+    texts = ["z " * 500, "z " * 9, "z " * 12 + "y " + "z " * 8, same, long_item, "q " * 11, " ".join(items[7][1].split()[3:])]
+    texts += [" ".join(cut[i : i + k]) for i, k in ((0, 9), (0, 10), (3, 12), (22, 14), (27, 30), (185, 15), (190, 10), (191, 9))]
+    texts += [" ".join(rng.choices("abc", k=8)) + f" {same} " + " ".join(rng.choices("abc", k=8)) for _ in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = decontamination.contamination(docs(spark, texts), benchmark).drop("spans").collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == {i: brute_contamination(t, items) for i, t in enumerate(texts)}
+
+
+def test_five_megabytes_of_items_are_one_part_and_each_word_is_held_once(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"t{rng.randint(0, 20_000)}" for _ in range(800))) for i in range(1000)]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    assert sum(len(t) for _, t in rows) > 4_500_000
+    (part,) = decontamination.benchmark_parts(spark, benchmark)
+    held = decontamination.Blocks(part)
+    assert held.automaton.get_stats()["nodes_count"] <= 1 + 800 * 1000
+    hit, items = held.scan(rows[7][1].encode().split()[100:140])
+    assert hit.all() and items == {"7"}
+
+
 def test_spans_point_into_the_original_text(spark):
     text = "Ünïcode 𝔘 first. " + ITEM.upper() + " After."
     row = decontamination.contamination(
@@ -377,6 +406,34 @@ def test_the_sample_holds_the_largest_sums(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_weights_are_the_log_ratio_of_two_models(spark):
+    rng = random.Random(12)
+    pool = ["a", "b", "c,", "D", "é", "##"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(60)] + [None, "", LONG]
+    good = [i for i in range(0, 60, 3)]
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    size = 1 << resampling.BITS
+
+    def features(text):
+        words = [zlib.crc32(w.encode()) + 1 for w in SPACED.findall(lower(text))]
+        single = [w * 0x9E3779B97F4A7C15 % 2**64 for w in words]
+        pairs = [(s ^ w) * 0x9E3779B97F4A7C15 % 2**64 for s, w in zip(single, words[1:])]
+        return [f >> (64 - resampling.BITS) for f in single + pairs]
+
+    raw, target = collections.Counter(f for t in texts for f in features(t)), collections.Counter(f for i in good for f in features(texts[i]))
+    n_raw, n_target = sum(raw.values()) + size, sum(target.values()) + resampling.PRIOR
+
+    def log_weight(text):
+        p = {f: (raw[f] + 1) / n_raw for f in features(text)}
+        return sum(math.log((target[f] + resampling.PRIOR * p[f]) / n_target / p[f]) for f in features(text))
+
+    for temperature in (1.0, 4.0):
+        got = {r["doc_id"]: r["weight"] for r in resampling.weights(docs(spark, texts), labels, temperature).collect()}
+        for i, text in enumerate(texts):
+            want = log_weight(text) / temperature if features(text) else resampling.NO_FEATURES
+            assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
 def test_ties_and_empty_tables_of_the_sample(spark):
     table = docs(spark, [""] * 1500)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

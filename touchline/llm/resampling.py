@@ -2,8 +2,9 @@
 
 The features of a text are its words and word pairs (A-Z in lower case, punctuation kept, since junk shows in it), hashed into
 ``2 ** BITS`` cells. Two generative models give each cell a smoothed probability: the raw one from the cells of
-all documents, the target one from texts labelled as good, at most ``SAMPLE_ROWS`` of them by a hash of doc_id. A document's weight is the mean log
-ratio of target to raw over its features, times ``SHARPNESS``; the mean keeps long texts comparable with short ones.
+all documents, the target one from texts labelled as good, at most ``SAMPLE_ROWS`` of them by a hash of doc_id. A document's weight is the log
+of its importance: the probability of all its features in the target model over that in the raw one, that is the sum of their log ratios,
+divided by ``TEMPERATURE``.
 Gumbel noise from a hash of the document makes the ``fraction`` with the largest sums a sample without replacement in proportion to
 the weights' exponentials. The k-th largest sum is found by counting in ever finer steps, never by ordering the table.
 
@@ -30,10 +31,12 @@ BITS = 16
 SAMPLE_ROWS = 20_000
 #: The part of the documents to choose: about the part of the labelled ones that are good.
 FRACTION = 0.85
-SHARPNESS = 20.0
+#: 1 samples in proportion to the ratio of the two models; more makes the sample more even.
+TEMPERATURE = 1.0
 #: Observations that the raw model is worth in the target model, in every cell's proportion.
 PRIOR = 1 << BITS
-NO_FEATURES = -1e6
+#: Below the weight of any text: 2 ** 31 features of a log ratio of 100 stay above.
+NO_FEATURES = -1e12
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BITS)
@@ -90,7 +93,7 @@ def log_ratio(documents: DataFrame, labels: DataFrame) -> np.ndarray:
 WEIGHT = T.StructType([T.StructField("weight", T.DoubleType())])
 
 
-def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def weights(documents: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, th (text hash) and weight of every document."""
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(log_ratio(documents, labels))
@@ -101,7 +104,7 @@ def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
         def one(text: bytes | None) -> tuple[float]:
             cells = cells_of(text)
-            return (SHARPNESS * float(ratio[cells].mean()) if len(cells) else NO_FEATURES,)
+            return (float(ratio[cells].sum()) / temperature if len(cells) else NO_FEATURES,)
 
         return one
 
@@ -144,9 +147,9 @@ def cut(rows: DataFrame, column: str, k: int) -> tuple[float, float]:
     return low, high
 
 
-def resampled(documents: DataFrame, labels: DataFrame, fraction: float = FRACTION, seed: str = "resample-1") -> DataFrame:
+def resampled(documents: DataFrame, labels: DataFrame, fraction: float = FRACTION, seed: str = "resample-1", temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, weight, the sum that decides, and whether the document is in the sample."""
-    scored = weights(documents, labels)
+    scored = weights(documents, labels, temperature)
     scored = stored(scored.withColumn("rank_score", F.col("weight") + gumbel(seed)), "weights")
     k = int(round(scored.count() * fraction))
     if k == 0:
