@@ -23,6 +23,7 @@ from touchline.operators.encode import (
     storage_rows,
 )
 from touchline.operators.lineup import quota_sample, with_position
+from touchline.operators.log_histogram import HistogramTable, percentiles_of
 from touchline.operators.newest import newest
 from touchline.operators.percentiles import exact_percentiles, latency_percentiles
 from touchline.operators.request_stats import error_rate, histogram, labelled_counts, path_template
@@ -47,6 +48,7 @@ from touchline.schema import (
     TEAM_IDS,
 )
 from touchline.session import configure, new_run_dir
+from touchline.sources.ledger_versions import VersionedLedger
 from touchline.sources.tables import (
     read_ledger,
     read_match_events,
@@ -66,6 +68,8 @@ from touchline.streaming.live import (
     start_cell_deltas,
     start_live_cells,
 )
+from touchline.streaming.measures import message_counters, read_measures, timed
+from touchline.streaming.newest import NewestTable, start_newest
 from touchline.streaming.sinks import (
     committed_match_events,
     committed_sink,
@@ -614,6 +618,80 @@ def stream_cell_deltas(spark, sf):
     return counted_cells(spark, f"{run}/cells")
 
 
+def _newest_streamed(spark, sf, n):
+    """Samples arriving newest week first in four batches, folded after every second."""
+    run = new_run_dir(spark, "newest")
+    samples = E.latency_samples(spark, sf)
+    week = F.least(F.floor(F.dayofmonth("ts") / 8), F.lit(3))
+    for part in reversed(range(4)):
+        samples.filter(week == part).write.mode("append").parquet(f"{run}/samples/part={3 - part}")
+    rows = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 2).parquet(f"{run}/samples/*")
+    table = NewestTable(spark, f"{run}/newest", samples.schema, ["ts", "seq"], ["event_type"], n, buckets=4)
+    _drained(start_newest(rows, table, f"{run}/ckpt", fold_every=2, available_now=True))
+    return table
+
+
+def stream_latest_n_per_key(spark, sf):
+    """The newest 100 samples of each type, kept by a stream."""
+    return _newest_streamed(spark, sf, 100).read()
+
+
+def stream_latency_by_type(spark, sf):
+    """Percentiles of the newest 1,500 samples of each type, kept by a stream."""
+    return latency_percentiles(_newest_streamed(spark, sf, 1500).read(), by=["event_type"], n=1500)
+
+
+#: From, until: whole days, and a range that starts and ends within hours.
+RANGES = (("2024-01-01 00:00:00", "2024-01-08 00:00:00"), ("2024-01-09 10:17:00", "2024-01-20 18:43:00"), ("2024-01-01 00:00:00", "2024-02-01 00:00:00"))
+
+
+def latency_ranges(spark, sf):
+    """Percentiles by type over ranges of time, out of cells that two batches have stored, one of them twice."""
+    table = HistogramTable(spark, new_run_dir(spark, "cells"), ["event_type"])
+    samples = E.latency_samples(spark, sf)
+    for batch in (0, 1, 0):
+        table.add(samples.filter(F.col("seq") % 2 == batch), "duration_ms", "ts", "samples", batch)
+    table.fold(before="2024-01-16")
+    wanted = {"p50": 50, "p95": 95, "p99": 99}
+    told = [
+        percentiles_of(table.cells(since, until), wanted, ["event_type"]).withColumn("since", F.lit(since))
+        .withColumn("until", F.lit(until))
+        for since, until in RANGES
+    ]
+    rounded = {name: F.round(name, 6) for name in wanted}
+    return reduce(DataFrame.unionByName, told).withColumns(rounded)
+
+
+def ledger_versions(spark, sf):
+    """The ledger after a retry run that came twice, as entries and changes, folded between and after."""
+    ledger = VersionedLedger(spark, new_run_dir(spark, "ledger-versions"), buckets=8)
+    entries = E.ledger(spark, sf)
+    ledger.add(entries.filter("id % 3 = 0"), "consumer", 0)
+    ledger.fold()
+    ledger.add(entries.filter("id % 3 <> 0"), "consumer", 1)
+    for _ in range(2):
+        ledger.apply(L.retry_run(ledger.current(), E.outcomes(spark, sf)), 0)
+    ledger.fold()
+    return ledger.current().drop("version")
+
+
+def stream_message_counters(spark, sf):
+    """Messages by (topic, status) as the sinks of a consumer told them, beside the consumer's own audit."""
+    run = new_run_dir(spark, "measures")
+    documents = E.raw_documents(spark, sf).select(F.col("value").cast("binary").alias("value"))
+    append_to_topic(documents, f"{run}/topic")
+    outputs = Outputs(
+        timed(match_events_sink(f"{run}/table"), "match_events", f"{run}/measures"),
+        audit=parquet_batches(f"{run}/audit"),
+        quarantine=timed(parquet_batches(f"{run}/quarantine"), "unreadable", f"{run}/measures"),
+    )
+    _drained(start_consumer(read_topic_stream(spark, f"{run}/topic"), outputs, f"{run}/ckpt", available_now=True))
+    told = message_counters(read_measures(spark, f"{run}/measures"))
+    topic = F.when(F.col("outcome") == "success", "match_events").otherwise("unreadable")
+    audit = spark.read.parquet(f"{run}/audit").groupBy(topic.alias("topic")).agg(F.sum("rows").alias("audited"))
+    return told.join(audit, "topic").select("topic", "status", "messages", "audited")
+
+
 def clustered_table(spark, sf):
     """match_events rewritten by date and match, all of it read back."""
     path = new_run_dir(spark, "clustered")
@@ -748,6 +826,11 @@ QUERIES = {
     "raw_text_errors": raw_text_errors,
     "roster_scan": roster_scan,
     "ledger_scan": ledger_scan,
+    "ledger_versions": ledger_versions,
+    "latency_ranges": latency_ranges,
+    "stream_latest_n_per_key": stream_latest_n_per_key,
+    "stream_latency_by_type": stream_latency_by_type,
+    "stream_message_counters": stream_message_counters,
     "null_rows_skipped": null_rows_skipped,
     "unknown_match": unknown_match,
     "percentile_epoch": percentile_epoch,

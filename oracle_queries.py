@@ -105,6 +105,23 @@ select {keys}{', '.join(columns)} from (
 ) {'group by ' + by if by else ''}"""
 
 
+def _ranges() -> str:
+    """What stands for the exact values of each rank: the middle of their logarithmic buckets of 1 %."""
+    growth = "(cast(1.01 as double) / cast(0.99 as double))"
+    columns = ", ".join(
+        f"round(max(case when r = floor((cast({p} as double) / 100) * cast(n - 1 as double)) then "
+        f"2 * pow({growth}, ceil(ln(v) / ln({growth}))) / ({growth} + 1) end), 6) as {name}"
+        for name, p in (("p50", 50), ("p95", 95), ("p99", 99))
+    )
+    return f"""with ranges (since, until) as (values ('2024-01-01 00:00:00', '2024-01-08 00:00:00'),
+          ('2024-01-09 10:17:00', '2024-01-20 18:43:00'), ('2024-01-01 00:00:00', '2024-02-01 00:00:00')),
+        ranked as (
+          select since, until, event_type, value as v, count(*) over g as n, row_number() over (g order by value) - 1 as r
+          from ranges join events on ts >= cast(since as timestamp) and ts < cast(until as timestamp)
+          window g as (partition by since, until, event_type))
+        select since, until, event_type, n, {columns} from ranked group by 1, 2, 3, 4"""
+
+
 LATENCY = {"p50": 50, "p95": 95, "p99": 99}
 
 REQUESTS = """
@@ -365,6 +382,10 @@ ORACLES = {
     "topic_roundtrip": f"with {ME} select {STORED} from me",
     "raw_text_errors": f"""with {CHECKED}
         select error_field, error_message, count(*) as documents from checked group by 1, 2""",
+    "latency_ranges": _ranges(),
+    "stream_message_counters": f"""with {CHECKED}
+        select case when kind in (0, 3, 5, 6, 7, 9) then 'unreadable' else 'match_events' end as topic,
+          'success' as status, count(*) as messages, count(*) as audited from checked group by 1""",
     "roster_scan": f"with {PLAYERS} select team_id, id, name, position from players",
     "ledger_scan": f"""with {LEDGER}
         select id, retry_count, cast(row_number() over (order by created_at, id) as integer) as place from ledger""",
@@ -383,3 +404,10 @@ ORACLES = {
           || {_rfc3339('peak_minute')} || '","eventCount":' || peak_count || '}},"responseTimePercentiles":{{"p50":'
           || p50 || ',"p95":' || p95 || ',"p99":' || p99 || '}}}}' as body from metrics, latency""",
 }
+
+# What a stream or a store arrives at is what the batch query tells.
+ORACLES |= {
+    "ledger_versions": ORACLES["ledger_transition"],
+    "stream_latest_n_per_key": ORACLES["latest_n_per_key"],
+    "stream_latency_by_type": ORACLES["latency_percentiles_by_type"],
+}

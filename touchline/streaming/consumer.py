@@ -137,8 +137,14 @@ def start_consumer(
 def live_lag(query: StreamingQuery) -> list[tuple[str, int, int]]:
     """(topic, partition, rows not yet consumed) of a running query's Kafka sources, from its latest progress."""
     # As JSON: the progress object keeps offsets in another spelling.
-    progress, found = query.lastProgress, []
-    for source in json.loads(progress.json)["sources"] if progress else []:
+    progress = query.lastProgress
+    return offsets_behind(json.loads(progress.json)) if progress else []
+
+
+def offsets_behind(progress: dict) -> list[tuple[str, int, int]]:
+    """(topic, partition, rows not yet consumed) of the Kafka sources in a progress report."""
+    found = []
+    for source in progress["sources"]:
         done, latest = (_offsets(source.get(name)) for name in ("endOffset", "latestOffset"))
         for topic, partitions in latest.items():
             read = done.get(topic, {})
