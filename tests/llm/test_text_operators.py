@@ -348,6 +348,20 @@ def test_whole_entities_are_found(spark):
     assert re.fullmatch(r"call \+44 \(\d\)\d\d \d{4} \d{4} today", rows[len(names) + 2]["text"])
 
 
+def test_surnames_are_shared_and_persons_stay_apart(spark):
+    given = [f"{a}{b}" for a in ("Al", "Be", "Cy", "Do", "Ed") for b in ("an", "on", "in", "us", "er", "ia", "eth")]
+    texts = ["Mr John Smith met Mr Smith, Dr Smith, MR Smith and Mr SMITH; Mrs Mary Smith came, Mr von Berg and Dr. Ida von Berg left, Mr Berg stayed"]
+    texts += [f"Mr {g} Smith" for g in given]
+    rows = {r["doc_id"]: r["text"] for r in surrogates.surrogate_documents(docs(spark, texts)).collect()}
+    got = re.fullmatch(r"Mr (\w+(?: \w\.)*) (\w+) met Mr (\w+), Dr (\w+), MR Smith and Mr (\w+); Mrs (.+) (\w+) came, Mr (\w+) and Dr\. (.+) (\w+) left, Mr (\w+) stayed", rows[0])
+    john, smith, *again, loud, mary, mrs, berg, ida, dr_berg, other = got.groups()
+    assert {smith, *again, loud.capitalize(), mrs} == {smith} and smith != "Smith" and loud.isupper()
+    assert berg == dr_berg != other and mary != john
+    persons = [rows[i] for i in range(1, len(texts))]
+    assert len(set(persons)) == len(given) > len(surrogates.GIVEN["latin_m"].split())
+    assert all(p.startswith("Mr ") and p.endswith(f" {smith}") and p not in texts for p in persons)
+
+
 def test_clean_texts_and_odd_rows_stay(spark):
     texts = [*CLEAN, None, "", LONG]
     rows = surrogates.surrogate_documents(docs(spark, texts)).collect()

@@ -7,7 +7,9 @@ Each entity is reduced to its type and canonical form (letters and digits in low
 from a keyed hash: digits for digits, letters for letters, upper case where the original has it, punctuation as it
 stands, the country code of a telephone number and the first digit of a card kept, cards Luhn-valid again, e-mail domains
 below the reserved ``.example``, given names of the honorific's gender in the script of the name. The same entity is
-replaced alike everywhere (coreference). All distinct entities are then checked together: where two would get
+replaced alike everywhere (coreference). A surname, the last word of a name with the particles before it, is an entity of its own, so that
+"Mr John Smith", "Mr Smith" and "Dr Smith" share one; given names are drawn for the whole name, with initials where a
+surname has more bearers than there are given names. All distinct entities are then checked together: where two would get
 the same replacement, or one gets the text of a real entity, all but one draw again, until none is left
 (distinctness). Later draws of names, e-mail addresses and secrets are longer, so their space does not fill up. Where the
 values of a fixed form (digits, addresses, key ids) are nearly all in use, that form's entities are dealt each other's
@@ -28,6 +30,8 @@ from touchline.llm.common import free_name, stored
 KEY = "surrogates-1"
 #: Draws after which a fixed form's space counts as full, and its entities exchange their own values.
 MAX_DRAWS = 50
+#: Tasks that the names of one surname are dealt to.
+SALTS = 16
 
 # -- detection. Every alternative starts at a place where no entity can have begun before, and runs are possessive.
 
@@ -192,26 +196,26 @@ def drawn(kind: Column, canon: Column, attempt: Column) -> Column:
     body = F.concat(F.substring(canon, 1, 1), _shifted(F.substr(canon, F.lit(2), F.length(canon) - 2), seed))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.concat(body, check.cast("string"))
-    words = F.size(F.split(canon, " ")) - 1
     script = _script(canon)
     gender = F.substring(canon, 1, 1)
     given, surname = None, None
     for s in SYLLABLES:
-        # Each draw after the first has a syllable more.
+        # Each draw after the first has a syllable, or an initial, more.
         parts = [_pick(SYLLABLES[s], _hex(seed, 9 + 4 * i, 4)) for i in range(14)]
+        initials = [F.when(attempt > i, F.concat(F.lit(" "), F.upper(F.substring(part, 1, 1)), F.lit("."))).otherwise("") for i, part in enumerate(parts)]
         parts = [part if i < 4 else F.when(attempt > i - 4, part).otherwise("") for i, part in enumerate(parts)]
         family = F.initcap(F.concat(*parts))
         surname = F.when(script == s, family) if surname is None else surname.when(script == s, family)
         for g in "fmn":
-            first = _pick(" ".join(GIVEN[f"{s}_{x}"] for x in ("fm" if g == "n" else g)), _hex(seed, 1, 8))
+            first = F.concat(_pick(" ".join(GIVEN[f"{s}_{x}"] for x in ("fm" if g == "n" else g)), _hex(seed, 1, 8)), *initials)
             both = (script == s) & (gender == g)
             given = F.when(both, first) if given is None else given.when(both, first)
-    name = F.when(words > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
         .when(kind == "card", card)
-        .when(kind == "name", name)
+        .when(kind == "name", given)
+        .when(kind == "surname", surname)
         .when(kind == "key_id", F.concat(F.substring(canon, 1, 4), _shifted(F.substring(canon, 5, 16), seed)))
         .when(kind == "phone", F.concat(F.substring_index(canon, "-", 1), F.lit("-"), _shifted(F.substring_index(canon, "-", -1), seed)))
         .when(kind == "secret", F.concat(_shifted(canon, seed), letters))
@@ -253,12 +257,16 @@ def worn(kind: Column, value: Column, replacement: Column) -> Column:
 # -- tables
 
 
+def surname_of(canon: Column) -> Column:
+    """The last word of a canonical name and the particles before it."""
+    return F.regexp_extract(canon, rf"((?:(?<![^ ])(?:{_PARTICLE}) )*[^ ]+)$", 1)
+
+
 def mentions(texts: DataFrame) -> DataFrame:
-    """digest, pos, value, kind, canon of every entity in the distinct texts of ``texts`` (digest, found)."""
+    """digest, pos, value, kind and canon of every match in the distinct texts of ``texts`` (digest, found); canon is null for what is no entity."""
     rows = texts.select("digest", F.posexplode("found").alias("pos", "value"))
     rows = rows.withColumn("kind", entity_type(F.col("value")))
-    rows = rows.where(is_entity(F.col("kind"), F.col("value")))
-    return rows.withColumn("canon", canonical(F.col("kind"), F.col("value")))
+    return rows.withColumn("canon", F.when(is_entity(F.col("kind"), F.col("value")), canonical(F.col("kind"), F.col("value"))))
 
 
 def _exchanged(entities: DataFrame, open_: DataFrame) -> DataFrame:
@@ -277,13 +285,33 @@ def _exchanged(entities: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def replacements(rows: DataFrame) -> DataFrame:
-    """kind, canon and replacement of every distinct entity; no two of a kind share one, none is a real entity."""
-    made = drawn(F.col("kind"), F.col("canon"), F.col("attempt"))
-    entities = rows.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("replacement", made)
+    """kind, canon and replacement of every distinct entity; no two of a kind share one, none is a real entity.
+
+    Names without a given name are told by their surname alone, whatever the honorific.
+    """
+    entities = stored(rows.where("canon is not null").select("kind", "canon").distinct(), "distinct")
+    names = entities.where("kind = 'name'").withColumn("surname", surname_of(F.col("canon")))
+    families = names.select(F.lit("surname").alias("kind"), F.col("surname").alias("canon")).distinct()
+    apart = _settled(entities.where("kind <> 'name'").unionByName(families).withColumn("tail", F.lit("")))
+    family = apart.where("kind = 'surname'").select(F.col("canon").alias("surname"), F.col("replacement").alias("family"))
+    # A surname may be borne by a large part of all names, so its names are dealt to several tasks.
+    salted = family.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    names = names.withColumn("salt", F.pmod(F.xxhash64("canon"), F.lit(SALTS)).cast("int"))
+    named = stored(names.join(salted, ["surname", "salt"]).drop("salt"), "names")
+    alone = F.length("canon") == F.length("surname") + 2
+    single = named.where(alone).select("kind", "canon", F.col("family").alias("replacement"))
+    full = _settled(named.where(~alone).select("kind", "canon", F.concat(F.lit(" "), "family").alias("tail")))
+    return apart.where("kind <> 'surname'").unionByName(single).unionByName(full)
+
+
+def _settled(entities: DataFrame) -> DataFrame:
+    """kind, canon and replacement of distinct entities (kind, canon, tail); the tail is what each draw ends with."""
+    made = F.concat(drawn(F.col("kind"), F.col("canon"), F.col("attempt")), "tail")
+    entities = entities.withColumn("attempt", F.lit(0)).withColumn("replacement", made)
     entities = stored(entities, "entities")
     # Names are compared without their gender and in lower case.
-    name = F.col("kind") == "name"
-    real_text = F.when(name, F.substr("canon", F.lit(3))).otherwise(F.col("canon"))
+    name = F.col("kind").isin("name", "surname")
+    real_text = F.when(F.col("kind") == "name", F.substr("canon", F.lit(3))).otherwise(F.col("canon"))
     text = F.when(name, F.lower("replacement")).otherwise(F.col("replacement"))
     for draw in range(MAX_DRAWS):
         real = entities.select("kind", real_text.alias("as_text"), F.lit(None).cast("string").alias("canon"))
@@ -299,7 +327,7 @@ def replacements(rows: DataFrame) -> DataFrame:
         # The draw goes up by the place among those that collide, so a large group does not collide once more as a whole.
         checked = checked.withColumn("attempt", F.when(again, F.col("attempt") + F.col("turn") - 1).otherwise(F.col("attempt")))
         fresh = checked.withColumn("replacement", F.when(again, made).otherwise(F.col("replacement")))
-        entities = stored(fresh.select("kind", "canon", "attempt", "replacement"), "entities")
+        entities = stored(fresh.select("kind", "canon", "tail", "attempt", "replacement"), "entities")
 
 
 def pseudonymised(documents: DataFrame) -> DataFrame:
@@ -320,18 +348,16 @@ def pseudonymised(documents: DataFrame) -> DataFrame:
     known = replacements(rows_of)
     worn_as = worn(F.col("kind"), F.col("value"), F.col("replacement"))
     by_text = (
-        rows_of.join(known, ["kind", "canon"])
-        .withColumn("worn", worn_as)
+        rows_of.join(known, ["kind", "canon"], "left")
+        .withColumn("worn", F.coalesce(worn_as, "value"))
         .groupBy("digest")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "worn"))).alias("worn"), F.count("*").alias("n_entities"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "worn"))).alias("worn"), F.count("canon").alias("n_entities"))
     )
     holds = F.col("text").rlike(HINT) & F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
     with_some = rows.where(holds).withColumn("digest", digest).join(by_text, "digest", "left")
-    # The pieces between entities and the entities alternate; an entity without a replacement stays as it is.
-    pieces, values = F.split("text", ENTITY, -1), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    put = F.transform(values, lambda v, i: F.coalesce(F.try_element_at(F.col("worn"), i), v))
-    text = F.array_join(F.flatten(F.zip_with(pieces, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    done = with_some.withColumn("text", text).withColumn("n_entities", F.coalesce("n_entities", F.lit(0)).cast("long"))
+    # The pieces between matches and what takes their place alternate; the text is matched once for both.
+    put = F.transform(F.split("text", ENTITY, -1), lambda piece, i: F.concat(piece, F.coalesce(F.try_element_at(F.col("worn"), i), F.lit(""))))
+    done = with_some.withColumn("text", F.array_join(put, "")).withColumn("n_entities", F.coalesce("n_entities", F.lit(0)).cast("long"))
     rest = rows.where(~F.coalesce(holds, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
     both = done.drop("digest", "worn").unionByName(rest)
     columns = [F.col("text" if i == at_text else f"k{i}").alias(c) for i, c in enumerate(names)]
