@@ -10,6 +10,7 @@ from collections import defaultdict
 import compare
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from touchline.llm import components, covertree, jaccard, mixing
@@ -124,6 +125,17 @@ def test_components_of_edges(spark):
 # -- mixing
 
 
+def test_a_large_neighbourhood_is_dealt_to_many_tasks(spark):
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 4000)] + [(9000, 3), (9001, 9000)], "u long, v long")
+    least, told = components._least(pairs)
+    assert {tuple(r) for r in told.collect()} == {(r["u"], r["v"], r["v"]) for r in pairs.collect()}
+    both = pairs.unionByName(pairs.select(pairs.v.alias("u"), pairs.u.alias("v")))
+    salts = both.where("u = 0").select((F.pmod(F.xxhash64("v"), F.lit(components.SALTS))).alias("s")).groupBy("s").count()
+    assert salts.count() > components.SALTS / 2 and salts.agg(F.max("count")).first()[0] < 60
+    assert {r["u"]: r["m"] for r in components._least(both)[0].where("u in (0, 3, 9000)").collect()} == {0: 1, 3: 0, 9000: 3}
+    assert {r["component"] for r in components.components(pairs.toDF("a", "b")).collect()} == {0}
+
+
 def test_mix_follows_targets(spark):
     rng = random.Random(9)
     sources = ["hot"] * 6 + ["b", "c", None, "tiny"]
@@ -262,6 +274,37 @@ def test_scores_beyond_exact_doubles(spark):
     assert got == [(0, 1, 2, scores[2]), (0, 2, 1, scores[1]), (0, 3, 3, scores[3])]
 
 
+def test_tied_large_scores_go_to_the_smaller_id(spark):
+    # Scores that doubles cannot tell apart, more of them than k, over several blocks and cells.
+    rows = [(100 * i, [2e6 + i, 1.0]) for i in range(3)] + [(1 + 100 * i, [2e6, 7.0 if i % 2 else 7.0009765625]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, covertree.top_k(table).collect()))
+    exact = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    for query in (0, 100, 200):
+        scores = sorted((-sum(a * b for a, b in zip(exact[query], v, strict=True)), i) for i, v in exact.items() if i != query)[:10]
+        assert [(r, i, s) for q, r, i, s in got if q == query] == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+
+
+@pytest.mark.parametrize(("width", "least"), [(0.05, 0.8), (0.5, 0.6)])
+def test_clustered_vectors_are_mostly_ruled_out(spark, width, least):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 64))
+    vectors = centres[rng.integers(30, size=8000)] + width * rng.normal(size=(8000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    scored = covertree.candidates(table).agg({"scored": "sum"}).first()[0]
+    assert 1 - scored / (80 * 8000) > least
+
+
+def test_cells_hold_all_rows_whatever_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "SAMPLE", 12)
+    monkeypatch.setattr(covertree, "CELL_ROWS", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, (10 * rng.normal(size=3)).tolist()) for i in range(300)]
+    rows += [(5000 + i, [0.5] * (i % 40)) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, covertree.top_k(table).collect())) == brute_top_k(rows)
+
+
 # -- queries and pipeline
 
 

@@ -475,6 +475,20 @@ def test_batches_add_up_and_come_again_without_effect(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
+def test_a_batch_reads_the_buckets_of_its_documents(spark, tmp_path):
+    path = rollups.create(spark, str(tmp_path / "store"))
+    rollups.commit(path, "load", change(spark, [("insert", i, "a", "en", "v1", 1) for i in range(2000)] + [("insert", None, "a", "en", "v1", 1)]))
+    named = change(spark, [("delete", 7, None, None, "v1", None), ("delete", 1500, None, None, "v1", None), ("delete", None, None, None, "v1", None)])
+    held = rollups.named_buckets(path, named)
+    ids = {r["doc_id"] for r in held.collect()}
+    # Two buckets of the batch's documents, not the whole ledger; chosen from folder names, before any file is opened.
+    assert {7, 1500} <= ids and len(ids) < 2000 * 4 / rollups.BUCKETS
+    scan = next(line for line in held._jdf.queryExecution().executedPlan().toString().splitlines() if "/ledger]" in line)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|INSET)", scan)
+    rollups.commit(path, "out", named)
+    assert [tuple(r) for r in rollups.totals(spark, path).collect()] == [("a", "en", "v1", 1999, 1999)]
+
+
 def test_a_batch_that_broke_off_is_not_counted_and_can_come_again(spark, tmp_path):
     path = rollups.create(spark, str(tmp_path / "store"))
     rows = change(spark, [("insert", 1, "a", "en", "v1", 10)])

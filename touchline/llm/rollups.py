@@ -2,7 +2,8 @@
 
 A store holds three tables below one folder, each with one part for each batch: the *ledger* of signed rows of documents (+1 for what
 a batch brings, -1 for what it takes back), the *deltas* summed from it by source, language and tokenizer version, and the *commits*. Totals are
-the sums of committed deltas; nothing that has been counted is read again.
+the sums of committed deltas; nothing that has been counted is read again. A part of the ledger is laid out by ``BUCKETS`` hashes of doc_id, and a
+batch reads the buckets of the documents that it takes back.
 
 An insert brings a document, a delete takes back all that the ledger holds of its doc_id, a revision does both. A batch writes its own parts and then its commit. Coming again after its commit it
 changes nothing; coming again after it broke off, it replaces its own parts, and until its commit no reader counts them. Batches of one store are committed one after the other.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import short_batches, stored
@@ -31,13 +32,16 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 VERSION = "byte_bpe_50k/1"
 LONG_BLANKS = re.compile(r"\s{4096}")
 
+#: Folders of a ledger part.
+BUCKETS = 64
+
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 GROUP = ["source", "lang", "tokenizer"]
 
 LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, sign long"
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
 COMMITS = "rows long"
-_TABLES = {"ledger": LEDGER, "deltas": DELTAS, "commits": COMMITS}
+_TABLES = {"ledger": f"{LEDGER}, bucket int", "deltas": DELTAS, "commits": COMMITS}
 
 
 # -- counting
@@ -87,10 +91,18 @@ def counted(texts: DataFrame, columns: dict[str, str], path: str = VOCABULARY) -
 def create(spark: SparkSession, path: str) -> str:
     """An empty store below ``path``."""
     for table, schema in _TABLES.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{table}/batch=none")
+        part = f"{path}/{table}/batch=none"
+        if table == "ledger":
+            spark.createDataFrame([], LEDGER).write.mode("overwrite").parquet(f"{part}/bucket=0")
+        else:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(part)
     return path
 
 
+def bucket_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+
+
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(f"{_TABLES[table]}, batch string").parquet(f"{path}/{table}")
 
@@ -105,6 +117,13 @@ def is_committed(spark: SparkSession, path: str, batch: str) -> bool:
     return not _read(spark, path, "commits").where(F.col("batch") == batch).isEmpty()
 
 
+def named_buckets(path: str, named: DataFrame) -> DataFrame:
+    """The committed ledger's buckets that may hold the documents of ``named``."""
+    # At most BUCKETS numbers.
+    buckets = [r["b"] for r in named.where("doc_id is not null").select(bucket_of(F.col("doc_id")).alias("b")).distinct().collect()]
+    return _committed(named.sparkSession, path, "ledger").where(F.col("bucket").isin(buckets))
+
+
 def commit(path: str, batch: str, changes: DataFrame) -> bool:
     """Applies a batch of (op, doc_id, source, lang, tokenizer, tokens); False if it had been applied before."""
     spark = changes.sparkSession
@@ -114,9 +133,10 @@ def commit(path: str, batch: str, changes: DataFrame) -> bool:
     brought = changes.where(F.col("op").isin(INSERT, REVISE)).select(*columns).withColumn("sign", F.lit(1).cast("long"))
     named = changes.where(F.col("op").isin(DELETE, REVISE)).select("doc_id", "tokenizer").distinct()
     # A document's rows under other tokenizer versions stay.
-    held = _committed(spark, path, "ledger").join(named, ["doc_id", "tokenizer"], "left_semi")
+    held = named_buckets(path, named).join(named, ["doc_id", "tokenizer"], "left_semi")
     taken = held.groupBy(*columns).agg((-F.sum("sign")).alias("sign")).where("sign <> 0")
-    brought.unionByName(taken).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
+    part = brought.unionByName(taken).withColumn("bucket", bucket_of(F.col("doc_id"))).hint("rebalance", "bucket")
+    part.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/ledger/batch={batch}")
     ledger = spark.read.schema(LEDGER).parquet(f"{path}/ledger/batch={batch}")
     deltas = ledger.groupBy(*GROUP).agg(F.sum("sign").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
     deltas.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch}")
