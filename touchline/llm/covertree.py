@@ -41,7 +41,9 @@ LOWEST = -(1 << 63)
 BLOCK = 2048
 QUERY_BLOCK = 1024
 BASE = 1.4
-LEAF = 24
+LEAF = 128
+#: A node of fewer points is not made; they stay loose in the node above, which scores them in one product.
+LEAST_NODE = 32
 
 #: Bounds of the upper tree: rows and components of the sample it is grown over, and its cells for each length of vectors.
 SAMPLE = 4096
@@ -109,7 +111,7 @@ def cover_tree(x: np.ndarray) -> Node:
         while len(rest):
             near = far_rest <= reach
             inside = rest[near]
-            if len(inside) > 1:
+            if len(inside) >= LEAST_NODE:
                 node.children.append(grow(at, inside, far_rest[near]))
             else:
                 loose.extend(inside)
@@ -190,10 +192,10 @@ class Search:
     def meet(self, queries: np.ndarray, points: np.ndarray) -> None:
         scores = self.q[queries] @ self.x[points].T
         self.scored += scores.size
-        for row, query in enumerate(queries):
-            good = np.flatnonzero(scores[row] >= self.worst[query])
-            if not len(good):
-                continue
+        reach = scores >= self.worst[queries][:, None]
+        for row in np.flatnonzero(reach.any(axis=1)):
+            query = queries[row]
+            good = np.flatnonzero(reach[row])
             if len(good) > self.k + 1:
                 # At most one of the points is the query's own row alone, so k others stand before all that is below.
                 good = good[scores[row][good] >= np.sort(scores[row][good])[-self.k - 1]]
