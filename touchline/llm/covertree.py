@@ -7,7 +7,7 @@ cannot reach it, and the query is sent to the other cells only. Rows of a cell n
 
 A cell's rows are split into blocks of bounded size, the queries sent to it too. In a group of two blocks both
 sides are indexed by a cover tree: a node covers its points within a radius around one of them, and its children do so with a
-radius smaller by ``BASE``, each child's centre outside the others' radius. For a query node with centre a, radius r and a data node with centre b, radius s no
+radius smaller by ``BASE``, each child's centre outside the others' radius; the smallest nodes are left to the node above. For a query node with centre a, radius r and a data node with centre b, radius s no
 pair of points scores above ``a.b + |a| s + |b| r + r s``; a pair of nodes below the worst k-th score of the query node's members is left out.
 Below the smallest query nodes each query is held against the data nodes by itself. The k best of each block are then ranked together by query.
 
@@ -50,7 +50,7 @@ SAMPLE = 4096
 SAMPLE_VALUES = 2_000_000
 MAX_CELLS = 1024
 #: A cell is made for so many rows and for so many of the sample.
-CELL_ROWS = 1024
+CELL_ROWS = 512
 CELL_SAMPLE = 4
 PROBES = 2
 
@@ -103,10 +103,15 @@ def cover_tree(x: np.ndarray) -> Node:
     """The cover tree of the rows of ``x``; at least one row."""
 
     def grow(centre: int, points: np.ndarray, far: np.ndarray) -> Node:
-        node = Node(x[centre], float(far.max()), points)
-        if len(points) <= LEAF or node.radius == 0:
+        # The ball that bounds scores has its centre in the middle of the points where that makes it smaller.
+        cover = float(far.max())
+        middle = x[points].mean(axis=0)
+        off = x[points] - middle
+        around = float(np.sqrt(np.einsum("ij,ij->i", off, off).max()))
+        node = Node(middle, around, points) if around < cover else Node(x[centre], cover, points)
+        if len(points) <= LEAF or cover == 0:
             return node
-        reach = node.radius / BASE
+        reach = cover / BASE
         loose, rest, at, far_rest = [], points, centre, far
         while len(rest):
             near = far_rest <= reach
@@ -262,7 +267,10 @@ def upper_centres(sample: np.ndarray, cells: int) -> np.ndarray:
         for child in below[: cells - len(heap)]:
             heapq.heappush(heap, (-child.radius, turn, child))
             turn += 1
-    return np.stack([node.centre for _, _, node in heap])
+    centres = np.stack([node.centre for _, _, node in heap])
+    # Each centre moves to the middle of the sample's rows that are nearest to it, which makes its cell's radius smaller.
+    near = np.argmin(np.einsum("ij,ij->i", centres, centres) - 2 * (x @ centres.T), axis=1)
+    return np.stack([x[near == at].mean(axis=0) if (near == at).any() else c for at, c in enumerate(centres)])
 
 
 def centres_of(rows: DataFrame) -> dict[int, np.ndarray]:
