@@ -290,3 +290,11 @@ def test_live_lag_of_a_topic():
     assert live_lag(Running()) == [("a", 0, 4), ("a", 1, 0), ("a", 2, 3), ("b", 0, 4)]
     Running.lastProgress = None
     assert live_lag(Running()) == []
+
+
+def test_a_topic_file_is_shared_by_many_tasks(spark, tmp_path):
+    value = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{i}")), 512) for i in range(8)])
+    rows = spark.range(0, 30_000, 1, 1).select(value.cast("binary").alias("value"))
+    append_to_topic(rows, f"{tmp_path}/topic")
+    parts = read_topic(spark, f"{tmp_path}/topic").select("value").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(parts) == 30_000 and sum(n > 0 for n in parts) >= 3

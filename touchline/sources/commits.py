@@ -30,12 +30,18 @@ KEEP_VERSIONS, TRIES = 20, 50
 TARGET_BYTES = 256 << 20
 #: Bits of a Bloom filter for each id, its hashes, and the bits of one stored piece of it.
 BLOOM_BITS, BLOOM_HASHES, PIECE_BITS = 12, 6, 32_768
-#: Dates of one batch whose manifests are opened when repeats are looked for.
-MAX_BATCH_DATES = 10_000
+#: Dates of one batch whose manifests are opened when repeats are looked for, and ids of a date that are always looked up in filters.
+MAX_BATCH_DATES, FEW_IDS = 10_000, 1000
 
 _PART = "_part"
 
 
+def within(stored: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """The stored rows between the least and the greatest value of a column of ``rows``; Parquet passes over row groups without any."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    return stored.where(F.lit(False)) if low is None else stored.where(F.col(column).between(low, high))
+
+
 class Files:
     """Small files below a folder, in any store that Spark reads."""
 
@@ -186,23 +192,36 @@ class CommittedTable:
         columns = self.schema.fieldNames()
         keys = [self.date_column, self.id_column]
         others = [c for c in columns if c not in keys]
+        # Kept for the search and the write, so that the batch is read and decoded once.
+        rows = rows.select(*columns).persist()
         # A repeated id is folded on the map side, so one with many copies meets as few rows.
         once = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*keys, "_row.*").select(*columns)
-        found = self.holding(once, version)
-        if found:
-            stored = self._rows(found).select(*keys)
-            same = once[self.date_column].eqNullSafe(stored[self.date_column]) & (once[self.id_column] == stored[self.id_column])
-            once = once.join(stored, same, "left_anti")
-        return self.append(once, writer, batch)
+        try:
+            new, found = once, self.holding(once, version)
+            if found:
+                stored = within(self._rows(found).select(*keys), rows, self.id_column)
+                same = once[self.date_column].eqNullSafe(stored[self.date_column]) & (once[self.id_column] == stored[self.id_column])
+                new = once.join(stored, same, "left_anti")
+            return self.append(new, writer, batch)
+        finally:
+            rows.unpersist()
 
     def holding(self, rows: DataFrame, version: Version) -> list[str]:
-        """The files that may hold one of the rows' ids under its date, by their Bloom filters."""
-        dates = [r["d"] for r in rows.select(self._date().alias("d")).distinct().limit(MAX_BATCH_DATES + 1).collect()]
+        """The files that may hold one of the rows' ids under its date, by their Bloom filters.
+
+        To ask a filter makes ``BLOOM_HASHES`` rows of an id. A file that has no more rows than that makes for all ids of
+        its date is taken unasked, as its own ids are read sooner.
+        """
+        counted = rows.groupBy(self._date().alias("d")).agg(F.count(self.id_column).alias("ids"))
+        dates = {r["d"]: r["ids"] for r in counted.limit(MAX_BATCH_DATES + 1).collect()}
         if len(dates) > MAX_BATCH_DATES:
             raise ValueError(f"a batch of more than {MAX_BATCH_DATES} dates")
-        files = [(d, f["path"], f["pieces"], f["ids"]) for d in dates for f in self.manifest(version, d) if f["ids"]]
+        listed = [(d, f) for d in dates for f in self.manifest(version, d) if f["ids"]]
+        read = [f["path"] for d, f in listed if dates[d] > FEW_IDS and f["rows"] <= BLOOM_HASHES * dates[d]]
+        unasked = set(read)
+        files = [(d, f["path"], f["pieces"], f["ids"]) for d, f in listed if f["path"] not in unasked]
         if not files:
-            return []
+            return sorted(read)
         listed = self.spark.createDataFrame([f[:3] for f in files], "date string, path string, pieces int")
         filters = self.spark.read.parquet(*sorted({f"{self.path}/{f[3]}" for f in files}))
         asked = rows.select(self._date().alias("date"), F.col(self.id_column).alias("_id")).join(F.broadcast(listed), "date")
@@ -211,7 +230,7 @@ class CommittedTable:
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         held = byte.bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int")) > 0
         met = asked.join(filters, ["path", "piece"]).where(held).groupBy("path", "_id").agg(F.count("*").alias("n"))
-        return sorted(r["path"] for r in met.where(F.col("n") == BLOOM_HASHES).select("path").distinct().collect())
+        return sorted(read + [r["path"] for r in met.where(F.col("n") == BLOOM_HASHES).select("path").distinct().collect()])
 
     def _positions(self, id_: Column, pieces: Column) -> Column:
         # Eight bits fewer, so that the sums stay in range.

@@ -10,6 +10,8 @@ from touchline.schema import BATCH_INTERVAL, BATCH_ROWS, TOPIC
 
 #: Rows of one batch at most, so that a backlog is not taken as one.
 MAX_BATCH_ROWS = 1_000_000
+#: Bytes of a row group of a topic file, before compression; one task decodes at least one.
+ROW_GROUP_BYTES = 4 << 20
 
 
 def kafka_options(servers: str, topic: str, max_rows_per_batch: int = MAX_BATCH_ROWS) -> dict[str, str]:
@@ -51,10 +53,13 @@ def read_topic(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_to_topic(rows: DataFrame, path: str) -> None:
-    """Append topic rows to a Parquet folder.  Partition and offset are a broker's to give, so they stay as they are or NULL."""
+    """Append topic rows to a Parquet folder.  Partition and offset are a broker's to give, so they stay as they are or NULL.
+
+    Row groups are small, so that many tasks share a batch that is one file.
+    """
     missing = [c for c in TOPIC.fieldNames() if c not in rows.columns]
     full = rows.withColumns({c: F.lit(None).cast(TOPIC[c].dataType) for c in missing})
-    full.select(*TOPIC.fieldNames()).write.mode("append").parquet(path)
+    full.select(*TOPIC.fieldNames()).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def write_to_kafka(rows: DataFrame, servers: str) -> None:
