@@ -12,7 +12,7 @@ from touchline.sources import commits
 from touchline.sources.topics import append_to_topic, read_topic_stream
 from touchline.streaming.consumer import Outputs, start_consumer
 from touchline.streaming.live import cell_deltas, counted_cells, fold_deltas, start_cell_deltas
-from touchline.streaming.sinks import committed_match_events, committed_sink
+from touchline.streaming.sinks import committed_match_events, committed_sink, distinct_match_events_sink
 
 SF = "/root/testdata/sf0.001"
 
@@ -166,6 +166,35 @@ def test_repeats_are_searched_in_the_files_that_may_hold_them(table, rows):
     assert as_list(table.read()) == as_list(day)
 
 
+def test_files_no_larger_than_the_batch_are_read_without_their_filters(spark, table, rows, monkeypatch):
+    monkeypatch.setattr(commits, "FEW_IDS", 0)
+    half = rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0)
+    table.append_new(half, "w", 0)
+    version = table.version()
+    # The filters lie in another folder than the files, so without them the search would fail if it asked one.
+    for name in table.files.names("_log/ids"):
+        table.files.delete(f"_log/ids/{name}")
+    assert table.holding(rows, version) == sorted(f["path"] for d in version.dates for f in table.manifest(version, d))
+    table.append_new(rows, "w", 1)
+    assert as_list(table.read()) == as_list(rows)
+
+
+@pytest.mark.parametrize("sink", [committed_sink, distinct_match_events_sink])
+def test_a_batch_is_computed_once(spark, tmp_path, rows, sink):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(event_id):
+        computed.add(1)
+        return event_id
+
+    marked = rows.withColumn("event_id", F.udf(seen, "string").asNondeterministic()("event_id"))
+    more = {"distinct": True} if sink is committed_sink else {}
+    write = sink(f"{tmp_path}/table", writer="w", **more)
+    for batch in range(3):
+        write(marked, batch)
+    assert computed.value == 3 * rows.count()
+
+
 def test_of_unequal_repeats_the_least_is_kept(spark, table, rows):
     one = rows.limit(1)
     other = one.withColumn("match_id", F.concat(F.lit("a-"), "match_id"))

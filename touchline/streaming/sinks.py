@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.schema import MATCH_EVENTS
-from touchline.sources.commits import CommittedTable
+from touchline.sources.commits import MAX_BATCH_DATES, CommittedTable, within
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -65,15 +65,19 @@ def distinct_match_events_sink(path: str, writer: str | None = None) -> BatchSin
     write = match_events_sink(path, writer)
 
     def write_new(rows: DataFrame, batch_id: int) -> None:
+        # Kept for the search and the write, so that the batch is read and decoded once.
+        rows = rows.persist()
         once = rows.dropDuplicates(["event_date", "event_id"])
-        stored = _stored_ids(rows, path)
-        if stored is not None:
-            # What an earlier try of this very batch has left is about to be replaced.
-            own = (F.col("writer") == writer_of(rows, writer)) & (F.col("batch_id") == batch_id)
-            dates = rows.select("event_date").distinct()
-            stored = stored.filter(~own).join(dates, "event_date", "left_semi").select("event_date", "event_id")
-            once = once.join(stored, ["event_date", "event_id"], "left_anti")
-        write(once, batch_id)
+        try:
+            new, stored = once, _stored_ids(rows, path)
+            if stored is not None:
+                # What an earlier try of this very batch has left is about to be replaced.
+                own = (F.col("writer") == writer_of(rows, writer)) & (F.col("batch_id") == batch_id)
+                stored = within(_of_dates(stored.filter(~own), rows), rows, "event_id").select("event_date", "event_id")
+                new = once.join(stored, ["event_date", "event_id"], "left_anti")
+            write(new, batch_id)
+        finally:
+            rows.unpersist()
 
     return write_new
 
@@ -96,6 +100,15 @@ def committed_sink(path: str, writer: str | None = None, distinct: bool = False)
     return write
 
 
+def _of_dates(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stored rows of the dates of ``rows``; other dates' folders are not opened, as the plan names the dates."""
+    dates = rows.select("event_date").distinct()
+    named = [r["event_date"] for r in dates.limit(MAX_BATCH_DATES + 1).collect()]
+    if len(named) > MAX_BATCH_DATES:
+        return stored.join(dates, "event_date", "left_semi")
+    return stored.filter(F.col("event_date").isin([d for d in named if d is not None]))
+
+
 def _stored_ids(rows: DataFrame, path: str) -> DataFrame | None:
     schema = f"event_id string, event_date {MATCH_EVENTS['event_date'].dataType.simpleString()}, writer string, batch_id long"
     try:
