@@ -166,6 +166,19 @@ def test_one_passage_in_many_surroundings_is_dealt_again(spark, monkeypatch):
     assert max(sizes) <= 2000
 
 
+def test_classes_that_all_occur_twice_are_not_searched(spark, monkeypatch):
+    rng = random.Random(12)
+    copied, shared, own = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(3))
+    rows = [(0, copied), (1, copied), (2, None), (3, shared + own), (4, own[:200] + shared)]
+    asked = []
+    contents = repeats.contents
+    monkeypatch.setattr(repeats, "contents", lambda c, *rest: asked.append(c.collect()) or contents(c, *rest))
+    found = repeats.digests(docs(spark, rows), window=40).collect()
+    assert sorted(map(tuple, found), key=repr) == brute_repeats(rows, 40)
+    uids = {r["uid"]: r["doc_id"] for r in repeats.keyed(docs(spark, rows)).collect()}
+    assert {uids[c["uid"]] for c in asked[0]} <= {3, 4} and any(c["n"] == 1 for c in asked[0])
+
+
 def test_removed_spans_and_kept_bytes_make_up_the_text(spark):
     rows = passages(random.Random(10), 20)
     for row in repeats.without_repeats(docs(spark, rows), window=20).collect():

@@ -3,7 +3,8 @@
 A passage is a string of ``WINDOW`` bytes; one that starts at two places of the corpus is repeated, and all bytes that it covers are
 removed. Equal windows have equal least hashes of their ``k``-byte strings, so each text is cut into pieces, the runs of window
 starts of one least hash with the bytes that their windows cover, and only pieces whose hash (key) occurs again, in them or in others, are
-followed up. Pieces alike in key and content are one class with a count, stored once. The classes of one key meet in one task,
+followed up. Pieces alike in key and content are one class with a count, stored once. Where all classes of a key occur twice or
+more, each is repeated from end to end. The classes of any other key meet in one task,
 which builds their suffix array (``suffixes``: grouping by Lyndon prefixes, then emitting group by group); neighbours in it that agree in a whole
 window are compared byte by byte, and windows counted twice or more are repeated.
 
@@ -172,8 +173,8 @@ def repeated_pieces(found: DataFrame) -> DataFrame:
 
 
 def with_size(classes: DataFrame, bytes_of: str) -> DataFrame:
-    """Adds ``group_bytes``, the bytes of all classes of a key."""
-    sizes = classes.groupBy("key").agg(F.sum(bytes_of).alias("group_bytes"))
+    """Adds ``group_bytes``, the bytes of all classes of a key, and ``least_n``, the least count of them."""
+    sizes = classes.groupBy("key").agg(F.sum(bytes_of).alias("group_bytes"), F.min("n").alias("least_n"))
     return classes.join(sizes, "key")
 
 
@@ -309,7 +310,7 @@ def class_spans(classes: DataFrame, window: int, level: int = 1) -> DataFrame:
         return light if level < len(LEVELS) else searched(classes, window)
     parts = stored(dealt_again(heavy, window, LEVELS[level]), "parts")
     again = parts.groupBy("key", "hash").agg(F.sum("n").alias("n"), F.first("content").alias("content"))
-    again = stored(with_size(again.withColumn("bytes", F.octet_length("content")), "bytes").drop("bytes"), "classes")
+    again = stored(with_size(again.withColumn("bytes", F.octet_length("content")), "bytes").drop("bytes", "least_n"), "classes")
     inner = class_spans(again, window, level + 1)
     places = parts.select("in_key", "in_hash", "shift", "key", "hash").join(inner, ["key", "hash"])
     moved = F.transform("spans", lambda s: F.struct((s["begin"] + F.col("shift")).alias("begin"), (s["end"] + F.col("shift")).alias("end")))
@@ -323,8 +324,12 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     places = stored(repeated_pieces(stored(text_pieces(rows, window), "all-pieces")), "pieces")
     classes = places.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(F.struct("uid", "begin", "end")).alias("at"))
     classes = classes.select("key", "hash", "n", "at.*").withColumn("bytes", F.col("end") - F.col("begin"))
-    with_content = stored(contents(with_size(classes, "bytes").drop("bytes"), rows, window), "contents")
-    spans = class_spans(with_content, window)
+    classes = stored(with_size(classes, "bytes"), "classes")
+    # Where all classes of a key occur twice or more, each is repeated as a whole and nothing is left to search.
+    span = F.struct(F.lit(0).alias("begin"), F.col("bytes").alias("end"))
+    whole = classes.where("least_n > 1").select("key", "hash", F.array(span).alias("spans"))
+    with_content = stored(contents(classes.where("least_n = 1"), rows, window), "contents")
+    spans = class_spans(with_content, window).unionByName(whole)
     moved = F.transform("spans", lambda s: F.struct((s["begin"] + F.col("begin")).alias("begin"), (s["end"] + F.col("begin")).alias("end")))
     back = places.join(spans, ["key", "hash"]).select("uid", moved.alias("spans"))
     return back.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
