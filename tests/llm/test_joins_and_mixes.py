@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import components, covertree, jaccard, mixing
+from touchline import session
+from touchline.llm import common, components, covertree, jaccard, mixing
 from touchline.llm.common import find_package
 from touchline.llm.queries import ORACLES, QUERIES
 
@@ -79,6 +80,66 @@ def test_a_chain_of_blocks_is_joined_only_by_its_links(spark, monkeypatch):
     assert len({c for _, c in want.values()}) == 1
 
 
+def shared_phrases(rng):
+    """Texts of few words, whose shingles meet by chance, and near copies among them and of them."""
+    words = [f"v{i}" for i in range(7)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(5, 24))) for _ in range(170)]
+    return texts + [t + rng.choice([" end", " end of it", ""]) for t in texts[:60]] + near_copies(rng, 4, 6)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_parts_and_narrower_groups_change_no_component(spark, monkeypatch, seed):
+    for name, value in {"BLOCK_CLASSES": 6, "PART_KEYS": 500, "PART_ROWS": 300, "GROUPS_SHARE": 0.4}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    texts = shared_phrases(random.Random(seed))
+    rows = jaccard.jaccard_components(docs(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+
+
+def test_a_group_of_shared_phrases_is_not_paired_block_by_block(spark, monkeypatch):
+    # By short phrases nearly all of the texts hang together in one group, but few of them link.
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 6)
+    seen, plain = [], jaccard.joined
+    monkeypatch.setattr(jaccard, "joined", lambda blocks, keys: seen.append(blocks.count()) or plain(blocks, keys))
+    texts = shared_phrases(random.Random(3))
+    rows = jaccard.jaccard_components(docs(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+    assert max(seen) <= len(texts) and sum(seen) < 3 * len(texts)
+
+
+def size_below(path):
+    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file())
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_only_the_classes_stay_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    texts = near_copies(random.Random(5), 30, 12)
+    table = docs(spark, texts).cache()
+    table.count()
+    before = shuffle_files(spark)
+    rows = jaccard.classes(table)
+    made = shuffle_files(spark) - before
+    assert [p.name.split("-")[-1] for p in tmp_path.glob("*/*")] == ["classes"]
+    # What is left are counts that reach the driver: the hashes alone have more bytes than texts.
+    assert size_below(tmp_path) < 40 * len(texts) + 8000 and len(made) < 100
+    assert rows.count() == len(texts) and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_copies_in_several_tasks_share_no_keys(spark, tmp_path):
+    texts = [" ".join(f"q{i}x{j}" for j in range(40)) for i in range(20)] * 8
+    table = docs(spark, texts).repartition(8, "doc_id")
+    tables = common.Tables(spark, "copies")
+    sets = tables.put("sets", jaccard.sets_of(table))
+    assert sets.where("size(p0) > 0").count() > 20
+    assert jaccard.candidate_keys(sets, tables).isEmpty()
+    assert {r["component_id"] for r in jaccard.jaccard_components(table).collect()} == set(range(20))
+
+
 def test_tree_prunes_only_pairs_that_cannot_link():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 200)).astype(np.uint64)) for _ in range(30)]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -62,6 +63,54 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def set_for_now(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+class Tables:
+    """Tables between the steps of one job, below one run folder: as :func:`stored`, but they can be dropped once no step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.made, self.paths = spark, new_run_dir(spark, name), 0, {}
+
+    def put(self, name: str, parts: DataFrame | Iterable[DataFrame], dealt: int = 1) -> DataFrame:
+        """The rows of all ``parts``, each written before the next one is asked for. A table that had the name is dropped after that.
+
+        A part's shuffle files go as soon as it is written, not when the driver happens to collect its garbage. Parts with one of ``dealt``
+        shares of the rows are shuffled to as many fewer partitions.
+        """
+        path = f"{self.root}/{self.made}-{name}"
+        self.made += 1
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        least = min(most, 2 * self.spark.sparkContext.defaultParallelism)
+        settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.shuffle.partitions": str(max(most // dealt, least))}
+        for part in [parts] if isinstance(parts, DataFrame) else parts:
+            with set_for_now(self.spark, settings):
+                part.write.mode("append").option("compression", "zstd").parquet(path)
+            schema = part.schema
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Drops all other tables."""
+        self.drop(*(set(self.paths) - set(names)))
+
+
 def id_text(column: str = "doc_id") -> Column:
     """An identifier as text; null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import stored
+from touchline.llm.common import Tables
 
 #: Tasks that one node's neighbours are dealt to.
 SALTS = 256
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """node, component (the smallest node it is connected with) for every node of ``edges`` (a, b), a node's own included.
 
-    Each round is a stored table, so lineage stays short. Rows of null ends and loops are left out.
+    Each round is a stored table, so lineage stays short, and drops that of the round before; the last is named edges in ``tables``.
+    Rows of null ends and loops are left out.
     """
+    tables = tables or Tables(edges.sparkSession, "components")
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    pairs = stored(pairs, "edges")
+    pairs = tables.put("edges", pairs)
     mark = _mark(pairs)
     while True:
-        pairs = stored(_small_star(stored(_large_star(pairs), "edges")), "edges")
+        pairs = tables.put("edges", _small_star(tables.put("large_star", _large_star(pairs))))
         now = _mark(pairs)
         if now == mark:
             break
         mark = now
+    tables.drop("large_star")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
