@@ -140,6 +140,19 @@ def test_copies_in_several_tasks_share_no_keys(spark, tmp_path):
     assert {r["component_id"] for r in jaccard.jaccard_components(table).collect()} == set(range(20))
 
 
+def test_first_documents_are_shuffled_once(spark):
+    conf, name = spark.conf, "spark.sql.autoBroadcastJoinThreshold"
+    table = docs(spark, near_copies(random.Random(6), 6, 4))
+    before = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        text = jaccard.one_of_each(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, before)
+    # One for the texts, two for the classes: their components, and the ids of these.
+    assert text.count("Exchange hashpartitioning") == 3
+
+
 def test_tree_prunes_only_pairs_that_cannot_link():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 200)).astype(np.uint64)) for _ in range(30)]

@@ -508,15 +508,19 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     names = documents.columns
     rows = classes(documents).where("label is not null")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
-    first = first.select(F.col("f.doc_id").alias("id"), F.col("f.th").alias("th"))
+    first = first.select(F.col("f.none").alias("none"), F.coalesce("f.doc_id", F.lit(0)).alias("key"), F.col("f.th").alias("hash"))
+    key = F.col("doc_id").cast("long")
     plain = documents.select(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)],
-        F.col("doc_id").cast("long").alias("key"),
+        key.isNull().alias("none"),
+        F.coalesce(key, F.lit(0)).alias("key"),
         F.xxhash64("text").alias("hash"),
         F.coalesce(F.col("text").rlike(SPACED_WORD), F.lit(False)).alias("worded"),
     )
-    kept = plain.where("worded").join(first, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
-    turn = F.row_number().over(W.partitionBy("key", "hash").orderBy(F.lit(0)))
+    # The columns of the join are plain, so that the rows lie for the window as they do for the join: texts are shuffled once.
+    same = ["none", "key", "hash"]
+    kept = plain.where("worded").join(first, same)
+    turn = F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0)))
     kept = kept.withColumn("turn", turn).where("turn = 1")
     columns = [F.col(f"k{i}").alias(c) for i, c in enumerate(names)]
     return kept.select(*columns).unionByName(plain.where("not worded").select(*columns))
